@@ -15,6 +15,7 @@ import heapq
 import json
 import struct
 import unicodedata
+import zlib
 from array import array
 from typing import Iterator
 
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_arrow
+from .common import limit_arrow, per_process
 
 #: Unicode White_Space, which differs from str.isspace() in U+001C-U+001F.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -133,6 +134,11 @@ class WordBpe:
         return " ".join(map(self.strings.__getitem__, memoryview(ids).cast("I").tolist()))
 
 
+def shared_model(spec: str) -> WordBpe:
+    """The model of this file in this process; its caches serve all tasks that the process runs."""
+    return per_process(("bpe", len(spec), zlib.crc32(spec.encode())), lambda: WordBpe(spec))
+
+
 def read_spec(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -146,7 +152,7 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ke
 
     @F.pandas_udf("ids binary, decoded string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = WordBpe(spec.value)
+        model = shared_model(spec.value)
         for texts in batches:
             ids = [model.encode(t) for t in texts]
             yield pd.DataFrame({"ids": ids, "decoded": [model.decode(i) for i in ids]})

@@ -59,3 +59,17 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
 
 def tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+_BUILT: dict = {}
+
+
+def per_process(key, build):
+    """The object of this key, built once in a Python worker, which serves many tasks. Keeps the two used last."""
+    found = _BUILT.pop(key, None)
+    if found is None:
+        while len(_BUILT) > 1:
+            _BUILT.pop(next(iter(_BUILT)))
+        found = build()
+    _BUILT[key] = found
+    return found

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import WordBpe, read_spec
+from .bpe import read_spec, shared_model
 from .common import limit_arrow
 
 
@@ -29,7 +29,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
 
     @F.pandas_udf(f"array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint{ids_field}>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = WordBpe(spec.value)
+        model = shared_model(spec.value)
         for texts in batches:
             out = []
             for text in texts:
