@@ -111,24 +111,34 @@ class WordBpe:
                 heapq.heappush(heap, (before[0], h))
         return [s for s in sym if s >= 0]
 
-    def encode_plain(self, part: str) -> bytes:
-        if part.isascii():
-            part = part.lower()
-        else:  # letter by letter, so without the final sigma's rule
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-        return b"".join(map(self.word_cache.__getitem__, self.words.findall(part)))
-
     def encode_chunk(self, chunk: str) -> bytes:
-        out, at = [], 0
-        if self.special_re is not None and "<" in chunk:
-            for m in self.special_re.finditer(chunk):
-                out += [self.encode_plain(chunk[at : m.start()]), struct.pack("<I", self.special[m[0]])]
-                at = m.end()
-        return b"".join([*out, self.encode_plain(chunk[at:])])
+        """Ids of a normalized chunk."""
+        get = self.word_cache.__getitem__
+        if chunk.isalpha():
+            return get(chunk)
+        if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+            return get(chunk[:-1]) + get(chunk[-1])
+        return b"".join(map(get, self.words.findall(chunk)))
+
+    def encode_plain(self, text: str) -> bytes:
+        if text.isascii():
+            text = text.lower()
+        else:  # letter by letter, so without the final sigma's rule
+            if not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+            text = text.replace("Σ", "σ").lower()
+        return b"".join(map(self.cache.__getitem__, split_chunks(text)))
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.cache.__getitem__, split_chunks(text))) if text else b""
+        if not text:
+            return b""
+        out, at = [], 0
+        if self.special_re is not None and "<" in text:
+            for m in self.special_re.finditer(text):
+                out += [self.encode_plain(text[at : m.start()]), struct.pack("<I", self.special[m[0]])]
+                at = m.end()
+        return b"".join([*out, self.encode_plain(text[at:] if at else text)])
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.strings.__getitem__, memoryview(ids).cast("I").tolist()))
