@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import limit_arrow, materialize, tasks
+from .common import limit_arrow, materialize
 
 #: Rows of one rank bucket on average.
 BUCKET_ROWS = 100_000
@@ -87,9 +87,7 @@ def pack(df: DataFrame, capacity: int, length_col: str = "length", order: tuple[
     """df (all its columns, those named _* aside) + sequence_id long, offset long. df is read twice: write it first."""
     spark = df.sparkSession
     limit_arrow(spark)
-    n_tasks = tasks(spark)
-    total = df.count()
-    buckets = max(n_tasks, -(-total // BUCKET_ROWS))
+    buckets = max(1, -(-df.count() // BUCKET_ROWS))
     length = F.col(length_col).cast("int")
     keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     sizes = keyed.groupBy(length.alias("_length"), "_bucket").agg(F.count("*").alias("_size"))
