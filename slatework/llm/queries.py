@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, pieces, secrets, token_counts
-from .common import materialize, table
+from . import bpe, chat, langid, lm, packing, pieces, secrets, token_counts
+from .common import held_out, materialize, table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -17,6 +17,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+    return out.select("doc_id", (~F.col("is_training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = pieces.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), capacity=4096, end_id=1)
     cut = materialize(spark, cut, "pieces")
@@ -31,6 +36,14 @@ def op6_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.prefix_targets(rows.unionByName(planted)))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = held_out("doc_id", 3, 1)
+    identifier = langid.fit(docs, ~held, calibrate=False)
+    told = docs.select("doc_id", held.alias("held_out"), langid.predict(spark, identifier, F.col("text")).alias("p"))
+    return told.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
@@ -41,5 +54,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(out)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op5_best_fit_packing, op6_prefix_targets, op9_token_counts, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_lm_score, op5_best_fit_packing, op6_prefix_targets, op7_language_id, op9_token_counts, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {"op6_prefix_targets": chat.ORACLE_SQL, "op10_secret_scan": secrets.oracle_sql()}
