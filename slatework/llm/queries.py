@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lm, packing, pieces, secrets, token_counts
+from . import bpe, chat, jaccard, langid, lm, packing, pieces, secrets, token_counts
 from .common import held_out, materialize, table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -44,6 +44,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.smallest_ids(jaccard.classes(table(spark, sf_dir, "documents"), width=4, percent=85))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
@@ -54,5 +59,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(out)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_lm_score, op5_best_fit_packing, op6_prefix_targets, op7_language_id, op9_token_counts, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_lm_score, op5_best_fit_packing, op6_prefix_targets, op7_language_id, op8_jaccard_join, op9_token_counts, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {"op6_prefix_targets": chat.ORACLE_SQL, "op10_secret_scan": secrets.oracle_sql()}
