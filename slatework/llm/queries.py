@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, langid, lm, packing, pieces, secrets, token_counts
+from . import ann, bpe, chat, jaccard, langid, lm, packing, pieces, secrets, token_counts, topk
 from .common import held_out, materialize, table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -22,6 +22,14 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("is_training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+def op4_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = pieces.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), capacity=4096, end_id=1)
     cut = materialize(spark, cut, "pieces")
@@ -59,5 +67,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(out)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_lm_score, op5_best_fit_packing, op6_prefix_targets, op7_language_id, op8_jaccard_join, op9_token_counts, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_lm_score, op3_exact_topk, op4_adaptive_ann, op5_best_fit_packing, op6_prefix_targets, op7_language_id, op8_jaccard_join, op9_token_counts, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {"op6_prefix_targets": chat.ORACLE_SQL, "op10_secret_scan": secrets.oracle_sql()}
