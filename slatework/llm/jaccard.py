@@ -132,16 +132,16 @@ def _node_filter(nodes: DataFrame) -> NodeFilter:
 
 
 def _survey(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of three kinds: (id, node, n, mins) for each document, and slices of the count sketch (part, data)."""
+    """Rows of two kinds: (id, hash, node, n, mins) for each document, and slices of the count sketch (part, data)."""
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, sketch, held, size = per_process(key, lambda: Shingler(width)), None, [], 0
         for batch in batches:
             rows = []
-            for ident, text in zip(batch["id"], batch["text"]):
+            for ident, text, h in zip(batch["id"], batch["text"], batch["hash"]):
                 s = shingler(text)
-                rows.append((ident, node_of(s), len(s), min_hashes(s) if len(s) else None, None, None))
+                rows.append((ident, h, node_of(s), len(s), min_hashes(s) if len(s) else None, None, None))
                 held.append((s & np.uint64(SKETCH - 1)).astype(np.int64))
                 size += len(s)
             if size > 2_000_000:
@@ -151,10 +151,10 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
         if held or sketch is not None:
             counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=SKETCH)
             sketch = counts if sketch is None else sketch + counts
-            yield pd.DataFrame([(None, None, None, None, k, data) for k, data in _sliced(sketch.astype(np.uint32))], columns=columns)
+            yield pd.DataFrame([(None, None, None, None, None, k, data) for k, data in _sliced(sketch.astype(np.uint32))], columns=columns)
 
-    columns = ["id", "node", "n", "mins", "part", "data"]
-    return docs.mapInPandas(run, "id bigint, node bigint, n bigint, mins array<bigint>, part int, data binary")
+    columns = ["id", "hash", "node", "n", "mins", "part", "data"]
+    return docs.mapInPandas(run, "id bigint, hash bigint, node bigint, n bigint, mins array<bigint>, part int, data binary")
 
 
 def matches_for(rank: np.ndarray, base: int) -> int:
@@ -251,14 +251,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles long, node long, class long for every row of df: rows of one class are linked; class is null where
-    nothing links. Rows of one node have equal sets."""
+    """id, hash (xxhash64 of the text), n_shingles, node, class long for every row of df: a class is a connected component,
+    and null for empty sets. Rows of one node have equal sets."""
     spark = df.sparkSession
     limit_arrow(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.xxhash64(text_col).alias("hash"))
     survey = materialize(spark, _survey(docs, width), "survey")
     sketch = _add_up(survey.filter("part IS NOT NULL").select("part", "data"), "u4", SLICES)
-    members = survey.filter("part IS NULL").select("id", "node", "n", "mins")
+    members = survey.filter("part IS NULL").select("id", "hash", "node", "n", "mins")
 
     # groups by min-hash, each document against the least node of its group, where the sizes allow a link
     fits = "100 * least(n, m) >= {0} * greatest(n, m)".format(percent)
@@ -292,7 +292,7 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
         found = materialize(spark, components(materialize(spark, links, "links")), "classes")
         discard(spark, sets)
     out = members.join(found.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left")
-    return out.select("id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class"))
+    return out.select("id", "hash", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class"))
 
 
 def smallest_ids(found: DataFrame) -> DataFrame:

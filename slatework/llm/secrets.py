@@ -179,6 +179,32 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text",
     return matched.select(*(F.col(f"_keep{i}").alias(k) for i, k in enumerate(keep)), spans.alias("spans"))
 
 
+def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """df with every span that scan() finds replaced by the mark (overlapping spans by one); null texts stay null. Where
+    length_col is a column of df, it gets the characters of a changed text."""
+    found = scan(df, rules, text_col, keep=tuple(df.columns)).withColumnRenamed("spans", "_spans")
+    text = F.col(text_col)
+
+    def step(acc: Column, s: Column) -> Column:
+        inside = s["start"] < acc["at"]
+        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], before, F.lit(mark)))
+        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    clean = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    found = found.withColumn("_clean", F.when(F.size("_spans") > 0, clean).otherwise(text))
+
+    def column(c: str) -> Column:
+        if c == text_col:
+            return F.col("_clean").alias(c)
+        if c == length_col:
+            return F.when(F.size("_spans") > 0, F.length("_clean")).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c)
+        return F.col(c)
+
+    return found.select(*map(column, df.columns))
+
+
 def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
