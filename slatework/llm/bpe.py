@@ -48,7 +48,7 @@ def byte_letters() -> list[str]:
 class ChunkCache(dict):
     """chunk -> value, at most two generations of `size` entries; what the older one still has is kept when used."""
 
-    def __init__(self, compute, size: int = 200_000):
+    def __init__(self, compute, size: int = 400_000):
         super().__init__()
         self.compute, self.size, self.old = compute, size, {}
 
@@ -79,7 +79,6 @@ class WordBpe:
             self.pairs[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
         self.letters = byte_letters()
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACE + r"\p{L}\p{N}]+")
-        self.word_cache = ChunkCache(lambda word: array("I", self.merge(word)).tobytes())
         self.cache = ChunkCache(self.encode_chunk)
 
     def merge(self, word: str) -> list[int]:
@@ -112,13 +111,15 @@ class WordBpe:
         return [s for s in sym if s >= 0]
 
     def encode_chunk(self, chunk: str) -> bytes:
-        """Ids of a normalized chunk."""
-        get = self.word_cache.__getitem__
-        if chunk.isalpha():
-            return get(chunk)
-        if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
-            return get(chunk[:-1]) + get(chunk[-1])
-        return b"".join(map(get, self.words.findall(chunk)))
+        """Ids of a normalized chunk. A chunk of several pre-tokens is put together from theirs, which are chunks as well."""
+        if not chunk.isalpha():
+            get = self.cache.__getitem__
+            if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+                return get(chunk[:-1]) + get(chunk[-1])
+            words = self.words.findall(chunk)
+            if len(words) != 1:
+                return b"".join(map(get, words))
+        return array("I", self.merge(chunk)).tobytes()
 
     def encode_plain(self, text: str) -> bytes:
         if text.isascii():
