@@ -6,8 +6,9 @@ search runs on the histogram of lengths (at most `capacity` entries), and a comb
 allow in one step. Each such step uses up at least one length or leaves less of it than one bin takes, which bounds the
 number of steps by a few times the number of lengths, whatever the number of rows.
 
-The plan is ranges of ranks within a length. A piece's rank among its equals is its row number in a bounded hash bucket
-of the length plus the sizes of the buckets before it; no task sees more than a bucket.
+The plan is ranges of ranks within a length. A piece's rank among its equals is its row number in a hash bucket of the
+length plus the sizes of the buckets before it. A length has as many buckets as it has BUCKET_ROWS pieces, so a frequent
+length is spread over many tasks, and the table of sizes stays a small share of the pieces.
 
 Lengths must be between 1 and `capacity`; others raise. An empty table gives an empty table. Equal rows are
 interchangeable and each gets a place of its own.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import limit_arrow, materialize
 
 #: Rows of one rank bucket on average.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 500
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
@@ -87,13 +88,14 @@ def pack(df: DataFrame, capacity: int, length_col: str = "length", order: tuple[
     """df (all its columns, those named _* aside) + sequence_id long, offset long. df is read twice: write it first."""
     spark = df.sparkSession
     limit_arrow(spark)
-    buckets = max(1, -(-df.count() // BUCKET_ROWS))
     length = F.col(length_col).cast("int")
-    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    sizes = keyed.groupBy(length.alias("_length"), "_bucket").agg(F.count("*").alias("_size"))
+    histogram = {r[0]: r[1] for r in df.groupBy(length.alias("n")).count().collect()}
+    spread = spark.createDataFrame([(n, -(-c // BUCKET_ROWS)) for n, c in histogram.items()], "_length int, _buckets long")
+    keyed = df.withColumn("_length", length).join(F.broadcast(spread), "_length")  # a row for each length, capacity at most
+    keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.col("_buckets"))).drop("_buckets")
+    sizes = keyed.groupBy("_length", "_bucket").agg(F.count("*").alias("_size"))
     before = Window.partitionBy("_length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = materialize(spark, sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))), "bucket-sizes")
-    histogram = {r[0]: r[1] for r in sizes.groupBy("_length").agg(F.sum("_size")).collect()}
     placed = np.array(sorted(plan(histogram, capacity)), dtype=np.int64).reshape(-1, 6)
     shared = spark.sparkContext.broadcast(placed)
 
@@ -109,7 +111,7 @@ def pack(df: DataFrame, capacity: int, length_col: str = "length", order: tuple[
             yield pd.DataFrame({"sequence_id": r[:, 4] + k // r[:, 3], "offset": r[:, 5] + n * (k % r[:, 3])})
 
     within = Window.partitionBy("_length", "_bucket").orderBy(*order)
-    ranked = keyed.withColumn("_length", length).withColumn("_row", F.row_number().over(within))
+    ranked = keyed.withColumn("_row", F.row_number().over(within))
     ranked = ranked.join(sizes.select("_length", "_bucket", "_before"), ["_length", "_bucket"])
     ranked = ranked.withColumn("_placed", place(F.col("_length").cast("long"), F.col("_before") + F.col("_row") - 1))
     return ranked.select(*df.columns, "_placed.sequence_id", "_placed.offset")
