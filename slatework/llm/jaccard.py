@@ -12,7 +12,14 @@ min(l, l') of what they post. Each document takes the l that its estimated cost
 Groups of near copies. Before that, documents that share a min-hash are verified against the smallest node of their group
 only, in linear number, and the components of those links are found. The prefix join then makes only pairs of different
 components, which are all that can still change the result: a shingle whose documents lie in one component makes no pair
-at all. So a large group of copies costs no more than its documents, and no link between components is lost.
+at all. Shingles that more than FREQUENT documents post make no pairs either. The documents that such shingles connect form
+a canopy, and any pair that shares one is decided inside its canopy: a walk over the documents compares each with those
+that no walk has reached yet, by an inverted index in memory, and gives back a spanning forest of the links instead of the
+pairs. A canopy larger than a block is first walked as its first block with each other block, then what that left outside
+the largest component is walked with every block. So no group's pairs are ever rows, and no link is lost.
+
+Pairs are tested twice before whole sets travel: by size, and by a profile of each set (how many shingles fall into each of
+64 hash classes), which bounds the intersection from above.
 
 Null, empty and blank texts have the empty set, link with nothing and are components of their own. Equal rows share their
 node. A null id is passed over when the smallest id of a component is taken. Extra columns are ignored.
@@ -27,7 +34,7 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, limit_arrow, materialize, per_process, tasks
@@ -35,6 +42,10 @@ from .components import components
 
 #: Counters of the sketch (a power of two) and the slices in which it travels; bits of the filter of wanted nodes.
 SKETCH, SLICES, FILTER_BITS = 1 << 21, 32, 1 << 25
+#: Postings of a shingle above which it makes canopies instead of pairs; documents and shingles of a canopy's block.
+FREQUENT, BLOCK_NODES, BLOCK_SHINGLES = 32, 1_024, 2_000_000
+#: Classes of a profile.
+PROFILE = 64
 #: Min-hashes per document for the groups; largest l; cost of verifying one candidate, in postings; words kept hashed.
 MINHASHES, MOST_MATCHES, VERIFY_COST, CACHE_WORDS = 4, 8, 20.0, 300_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -78,6 +89,12 @@ def min_hashes(shingles: np.ndarray) -> list[int]:
     return [int(((shingles ^ odd) * odd).min() >> np.uint64(1)) for odd in _ODD[:MINHASHES]]
 
 
+def profile(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each hash class."""
+    at = ((shingles * _ODD[1]) >> np.uint64(40)).astype(np.int64) & (PROFILE - 1)
+    return np.bincount(at, minlength=PROFILE).astype(np.uint32).tobytes()
+
+
 class NodeFilter:
     """A Bloom filter of fixed size over nodes; what it lets through is checked by a join."""
 
@@ -132,7 +149,7 @@ def _node_filter(nodes: DataFrame) -> NodeFilter:
 
 
 def _survey(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of two kinds: (id, hash, node, n, mins) for each document, and slices of the count sketch (part, data)."""
+    """Rows of two kinds: (id, hash, node, n, mins, profile) for each document, and slices of the count sketch (part, data)."""
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +158,7 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
             rows = []
             for ident, text, h in zip(batch["id"], batch["text"], batch["hash"]):
                 s = shingler(text)
-                rows.append((ident, h, node_of(s), len(s), min_hashes(s) if len(s) else None, None, None))
+                rows.append((ident, h, node_of(s), len(s), min_hashes(s) if len(s) else None, profile(s) if len(s) else None, None, None))
                 held.append((s & np.uint64(SKETCH - 1)).astype(np.int64))
                 size += len(s)
             if size > 2_000_000:
@@ -151,10 +168,10 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
         if held or sketch is not None:
             counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=SKETCH)
             sketch = counts if sketch is None else sketch + counts
-            yield pd.DataFrame([(None, None, None, None, None, k, data) for k, data in _sliced(sketch.astype(np.uint32))], columns=columns)
+            yield pd.DataFrame([(None, None, None, None, None, None, k, data) for k, data in _sliced(sketch.astype(np.uint32))], columns=columns)
 
-    columns = ["id", "hash", "node", "n", "mins", "part", "data"]
-    return docs.mapInPandas(run, "id bigint, hash bigint, node bigint, n bigint, mins array<bigint>, part int, data binary")
+    columns = ["id", "hash", "node", "n", "mins", "profile", "part", "data"]
+    return docs.mapInPandas(run, "id bigint, hash bigint, node bigint, n bigint, mins array<bigint>, profile binary, part int, data binary")
 
 
 def matches_for(rank: np.ndarray, base: int) -> int:
@@ -231,8 +248,22 @@ def _sets(docs: DataFrame, width: int, wanted: NodeFilter) -> DataFrame:
     return docs.mapInPandas(run, "node bigint, shingles binary")
 
 
+def possible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose profiles (node, n, profile) allow a link."""
+
+    @F.pandas_udf("boolean")
+    def may(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            x, y = (np.frombuffer(b"".join(c), np.uint32).reshape(-1, PROFILE).astype(np.int64) for c in (left, right))
+            both = np.minimum(x, y).sum(axis=1)
+            yield pd.Series(100 * both >= percent * (x.sum(axis=1) + y.sum(axis=1) - both))
+
+    met = pairs.join(profiles.toDF("a", "pa"), "a").join(profiles.toDF("b", "pb"), "b")
+    return met.filter(may("pa", "pb")).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link."""
+    """The pairs (a, b) of nodes whose sets (node, shingles; one row a node) link."""
 
     @F.pandas_udf("boolean")
     def link(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -245,12 +276,102 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 out.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pd.Series(out, dtype=bool)
 
-    one = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
-    met = pairs.join(one.toDF("a", "sa"), "a").join(one.toDF("b", "sb"), "b")
+    met = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     return met.filter(link("sa", "sb")).select("a", "b")
 
 
-def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among these sets. Each set meets those that no walk has reached."""
+    total = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, total)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True) if total else (None, np.zeros(0, np.int64))
+    own = np.split(token, np.cumsum(sizes)[:-1])
+    left = np.arange(total)  # those not reached yet
+    links: list[tuple[int, int]] = []
+
+    def index() -> tuple[np.ndarray, np.ndarray]:
+        docs = np.repeat(np.arange(len(left)), sizes[left])
+        tokens = np.concatenate([own[i] for i in left]) if len(left) else np.zeros(0, np.int64)
+        order = np.argsort(tokens, kind="stable")
+        return np.searchsorted(tokens[order], np.arange(token.max(initial=-1) + 2)), docs[order]
+
+    starts, docs = index()
+    fresh = np.ones(total, bool)
+    waiting: list[int] = []
+    for seed in range(total):
+        if not fresh[seed]:
+            continue
+        fresh[seed] = False
+        waiting.append(seed)
+        while waiting:
+            x = waiting.pop()
+            if 2 * int(fresh.sum()) < len(left):
+                left = np.flatnonzero(fresh)
+                starts, docs = index()
+            if not len(left):
+                continue
+            a, b = starts[own[x]], starts[own[x] + 1]
+            sizes_of = b - a
+            at = np.repeat(a - np.cumsum(sizes_of) + sizes_of, sizes_of) + np.arange(sizes_of.sum())
+            both = np.bincount(docs[at], minlength=len(left))
+            hit = left[(100 * both >= percent * (sizes[x] + sizes[left] - both)) & fresh[left]]
+            fresh[hit] = False
+            waiting += hit.tolist()
+            links += [(x, y) for y in hit.tolist()]
+    return links
+
+
+def _walk(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links (a, b) of a forest for each group of rows (keys, node, shingles)."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("node").sort_values("node")
+        nodes = group["node"].to_numpy()
+        links = forest([np.frombuffer(x, np.uint64) for x in group["shingles"]], percent)
+        return pd.DataFrame([(nodes[x], nodes[y]) for x, y in links], columns=["a", "b"])
+
+    return rows.groupBy(*keys).applyInPandas(run, "a bigint, b bigint")
+
+
+def _canopies(frequent: DataFrame, block_nodes: int, block_shingles: int) -> DataFrame:
+    """node, canopy, blocks, block: canopies of postings (token, node, n) of frequent shingles, and their blocks."""
+    spark = frequent.sparkSession
+    first = frequent.groupBy("token").agg(F.min("node").alias("b"))
+    found = components(frequent.select("token", F.col("node").alias("a")).join(first, "token").select("a", "b"))
+    sized = frequent.select("node", "n").distinct().join(found, "node").select("node", "n", F.col("component").alias("canopy"))
+    sized = materialize(spark, sized, "canopies")
+    blocks = F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n") / block_shingles)).cast("int")
+    whole = sized.groupBy("canopy").agg(blocks.alias("blocks"))
+    out = sized.join(whole, "canopy").select("node", "canopy", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    return materialize(spark, out, "blocks")
+
+
+def _canopy_links(canopies: DataFrame, sets: DataFrame, links: DataFrame, percent: int, block_nodes: int) -> DataFrame:
+    """Links that connect what links inside canopies. links: those known before."""
+    spark = canopies.sparkSession
+    # the first block with each other block
+    mine = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("block") == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("block"))
+    rows = canopies.select("node", "canopy", F.explode(mine).alias("with")).join(sets, "node")
+    found = materialize(spark, _walk(rows, ["canopy", "with"], percent), "walked")
+    large = canopies.filter("blocks > 2")
+    if large.isEmpty():
+        return found
+    # what is outside the largest component, with every block
+    known = components(links.union(found))
+    placed = large.join(known, "node", "left").select("node", "canopy", "blocks", "block", F.coalesce("component", "node").alias("class"))
+    placed = materialize(spark, placed, "placed")
+    most = placed.groupBy("canopy", "class").count().groupBy("canopy").agg(F.max_by("class", F.struct("count", "class")).alias("largest"))
+    placed = placed.join(most, "canopy")
+    outside = placed.filter("class != largest")
+    counts = outside.groupBy("canopy").agg(F.ceil(F.count("*") / block_nodes).cast("int").alias("outer"))
+    outside = outside.join(counts, "canopy").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("outer")).cast("int"))
+    left = outside.select("canopy", "node", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    right = placed.join(counts, "canopy").select("canopy", "node", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("part"), F.col("block").alias("with"))
+    rows = left.select("canopy", "node", "part", "with").union(right.select("canopy", "node", "part", "with")).join(sets, "node")
+    return found.union(materialize(spark, _walk(rows, ["canopy", "part", "with"], percent), "walked"))
+
+
+def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """id, hash (xxhash64 of the text), n_shingles, node, class long for every row of df: a class is a connected component,
     and null for empty sets. Rows of one node have equal sets."""
     spark = df.sparkSession
@@ -259,6 +380,7 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     survey = materialize(spark, _survey(docs, width), "survey")
     sketch = _add_up(survey.filter("part IS NOT NULL").select("part", "data"), "u4", SLICES)
     members = survey.filter("part IS NULL").select("id", "hash", "node", "n", "mins")
+    profiles = survey.filter("part IS NULL AND n > 0").groupBy("node").agg(F.first("profile").alias("profile"))
 
     # groups by min-hash, each document against the least node of its group, where the sizes allow a link
     fits = "100 * least(n, m) >= {0} * greatest(n, m)".format(percent)
@@ -266,30 +388,39 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     groups = mins.groupBy("k", "v").agg(F.min(F.struct("node", "n")).alias("c"), F.max("node").alias("top")).filter("c.node != top")
     groups = groups.select("k", "v", F.col("c.node").alias("center"), F.col("c.n").alias("m"))
     stars = mins.join(groups, ["k", "v"]).filter("node != center").filter(fits).select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    stars = materialize(spark, stars, "stars")
+    stars = materialize(spark, possible(stars, profiles, percent), "stars")
     posted = materialize(spark, _post(docs, width, percent, sketch, _node_filter(stars.select(F.explode(F.array("a", "b"))))), "posted")
-    links = materialize(spark, verified(stars, posted.filter("shingles IS NOT NULL").select("node", "shingles"), percent), "links")
+    sets = posted.filter("shingles IS NOT NULL").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    links = materialize(spark, verified(stars, sets, percent), "links")
     found = materialize(spark, components(links), "classes")
 
-    # the prefix join, between different classes
-    posts = posted.filter("shingles IS NULL").select("node", "n", "l", "token")
-    posts = posts.join(found.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left")
-    posts = posts.select("token", "node", "n", "l", F.coalesce("component", "node").alias("class"))
-    live = posts.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi").select("token")
-    live = materialize(spark, posts.join(live, "token", "left_semi").distinct(), "live")
-    by_class = live.select("token", "class").distinct()
-    cross = by_class.join(by_class.toDF("token", "other"), "token").filter("class < other")
-    left = live.select("token", "class", F.col("node").alias("a"), "n", "l")
-    right = live.select("token", F.col("class").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("l").alias("k"))
-    pairs = cross.join(left, ["token", "class"]).join(right, ["token", "other"]).filter(fits)
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("l").alias("l"), F.first("k").alias("k"))
-    pairs = materialize(spark, pairs.filter("shared >= least(l, k)").select("a", "b"), "pairs")
+    # postings of shingles that more than one class posts
+    posts = posted.filter("shingles IS NULL").select("token", "node", "n", "l").repartition(tasks(spark), "token").distinct()
+    beside = Window.partitionBy("token").orderBy("node")
+    shared = posts.withColumn("_near", F.coalesce(F.lag("node").over(beside), F.lead("node").over(beside))).filter("_near IS NOT NULL").drop("_near")
+    shared = materialize(spark, shared, "shared")
     discard(spark, posted)
-    discard(spark, live)
-    if not pairs.isEmpty():
-        sets = materialize(spark, _sets(docs, width, _node_filter(pairs.select(F.explode(F.array("a", "b"))))), "sets")
-        links = links.union(verified(pairs, sets, percent))
-        found = materialize(spark, components(materialize(spark, links, "links")), "classes")
+    shared = shared.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("token", "node", "n", "l", F.coalesce("component", "node").alias("class"))
+    live = shared.groupBy("token").agg(F.count("*").alias("posts"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi").select("token", "posts")
+    live = materialize(spark, shared.join(live, "token"), "live")
+
+    # rare shingles make pairs, frequent ones canopies
+    rare = live.filter(F.col("posts") <= frequent).select("token", "node", "n", "l", "class")
+    pairs = rare.toDF("token", "a", "n", "l", "ca").join(rare.toDF("token", "b", "m", "k", "cb"), "token").filter("a < b AND ca != cb").filter(fits)
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("l").alias("l"), F.first("k").alias("k"))
+    pairs = pairs.filter("shared >= least(l, k)").select("a", "b")
+    pairs = materialize(spark, possible(pairs, profiles, percent), "pairs")
+    often = live.filter(F.col("posts") > frequent).select("token", "node", "n")
+    canopies = None if often.isEmpty() else _canopies(often, block_nodes, BLOCK_SHINGLES)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = wanted if canopies is None else wanted.union(canopies.select("node"))
+    if not wanted.isEmpty():
+        sets = _sets(docs, width, _node_filter(wanted)).groupBy("node").agg(F.first("shingles").alias("shingles"))
+        sets = materialize(spark, sets, "sets")
+        more = links.union(verified(pairs, sets, percent))
+        if canopies is not None:
+            more = more.union(_canopy_links(canopies, sets, links, percent, block_nodes))
+        found = materialize(spark, components(materialize(spark, more, "links")), "classes")
         discard(spark, sets)
     out = members.join(found.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left")
     return out.select("id", "hash", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class"))
