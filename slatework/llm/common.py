@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,11 +66,9 @@ _BUILT: dict = {}
 
 
 def per_process(key, build):
-    """The object of this key, built once in a Python worker, which serves many tasks. Keeps the two used last."""
-    found = _BUILT.pop(key, None)
-    if found is None:
-        while len(_BUILT) > 1:
-            _BUILT.pop(next(iter(_BUILT)))
-        found = build()
-    _BUILT[key] = found
-    return found
+    """The object of this key, built once in a Python worker, which serves many tasks. Only the last one is kept."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        gc.collect()
+        _BUILT[key] = build()
+    return _BUILT[key]

@@ -27,7 +27,6 @@ node. A null id is passed over when the smallest id of a component is taken. Ext
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from typing import Iterator
 
@@ -47,7 +46,7 @@ FREQUENT, BLOCK_NODES, BLOCK_SHINGLES = 32, 1_024, 2_000_000
 #: Classes of a profile.
 PROFILE = 64
 #: Min-hashes per document for the groups; largest l; cost of verifying one candidate, in postings; words kept hashed.
-MINHASHES, MOST_MATCHES, VERIFY_COST, CACHE_WORDS = 4, 8, 20.0, 300_000
+MINHASHES, MOST_MATCHES, VERIFY_COST, CACHE_WORDS = 4, 8, 20.0, 200_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -150,10 +149,8 @@ def _node_filter(nodes: DataFrame) -> NodeFilter:
 
 def _survey(docs: DataFrame, width: int) -> DataFrame:
     """Rows of two kinds: (id, hash, node, n, mins, profile) for each document, and slices of the count sketch (part, data)."""
-    key = uuid.uuid4().hex
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, sketch, held, size = per_process(key, lambda: Shingler(width)), None, [], 0
+        shingler, sketch, held, size = per_process(("shingler", width), lambda: Shingler(width)), None, [], 0
         for batch in batches:
             rows = []
             for ident, text, h in zip(batch["id"], batch["text"], batch["hash"]):
@@ -185,11 +182,10 @@ def matches_for(rank: np.ndarray, base: int) -> int:
 
 def _post(docs: DataFrame, width: int, percent: int, sketch: np.ndarray, wanted: NodeFilter) -> DataFrame:
     """Rows of two kinds: postings (node, n, l, token), and whole sets (node, n, shingles) of the wanted nodes."""
-    spark, key = docs.sparkSession, uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast((sketch, wanted.bits))
+    shared = docs.sparkSession.sparkContext.broadcast((sketch, wanted.bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = per_process(key, lambda: Shingler(width))
+        shingler = per_process(("shingler", width), lambda: Shingler(width))
         sketch, wanted = shared.value[0], NodeFilter(shared.value[1])
         noise = int(sketch.sum()) // SKETCH
         done: set[int] = set()
@@ -229,11 +225,10 @@ def _post(docs: DataFrame, width: int, percent: int, sketch: np.ndarray, wanted:
 
 def _sets(docs: DataFrame, width: int, wanted: NodeFilter) -> DataFrame:
     """node, shingles of the wanted nodes (and, rarely, of others)."""
-    spark, key = docs.sparkSession, uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast(wanted.bits)
+    shared = docs.sparkSession.sparkContext.broadcast(wanted.bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, wanted, done = per_process(key, lambda: Shingler(width)), NodeFilter(shared.value), set()
+        shingler, wanted, done = per_process(("shingler", width), lambda: Shingler(width)), NodeFilter(shared.value), set()
         for batch in batches:
             rows = []
             for text in batch["text"]:
