@@ -1,0 +1 @@
+"""Expressions: typed comparisons and the text form of values."""
