@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatework.llm import jaccard, langid, packing, pieces, secrets
-from slatework.llm.common import materialize, table
+from slatework.llm.common import fresh, materialize, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The models learn from the labels of the documents at hand; a document's own label isn't compared with the prediction.
     """
     identifier = langid.fit(docs, F.lit(True))
-    told = docs.withColumn("_told", langid.predict(spark, identifier, F.col("text"), reject=True))
-    return told.filter(F.col("_told.lang") != "und").select(*docs.columns)
+    told = fresh(docs, "told")
+    out = docs.withColumn(told, langid.predict(spark, identifier, F.col("text"), reject=True))
+    return out.filter(F.col(told)["lang"] != "und").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +33,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = found.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "hash")).alias("first"))
     met = found.join(first, "class")
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash"))
-    gone = met.filter(~same).select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+    id_, hash_ = fresh(docs, "id"), fresh(docs, "hash")
+    gone = met.filter(~same).select(F.col("id").alias(id_), F.col("hash").alias(hash_)).distinct()
     again = met.filter(same).groupBy("id", "hash").agg(F.count("*").alias("_n")).filter("_n > 1")
-    again = again.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
-    row = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    again = again.select(F.col("id").alias(id_), F.col("hash").alias(hash_))
+    row = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
     kept = docs.join(gone, row, "left_anti")
     once = kept.join(again, row, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(again, row, "left_anti").unionByName(once)

@@ -423,6 +423,9 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
 
 def smallest_ids(found: DataFrame) -> DataFrame:
     """id, n_shingles, component_id: the smallest id of each row's class."""
-    least = found.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("least"))
-    out = found.join(least.withColumnRenamed("class", "_class"), F.col("class") == F.col("_class"), "left")
+    found = materialize(found.sparkSession, found, "members")
+    least = found.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    # written, so that the join reads it as it is and can split the rows of a large class
+    least = materialize(found.sparkSession, least.select(F.col("class").alias("_class"), "least"), "least")
+    out = found.join(least, F.col("class") == F.col("_class"), "left")
     return out.select("id", "n_shingles", F.coalesce("least", "id").alias("component_id"))

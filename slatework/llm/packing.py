@@ -85,7 +85,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def pack(df: DataFrame, capacity: int, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """df (all its columns, those named _* aside) + sequence_id long, offset long. df is read twice: write it first."""
+    """df + sequence_id long, offset long, which replace columns of these names. df is read several times: write it first."""
     spark = df.sparkSession
     limit_arrow(spark)
     length = F.col(length_col).cast("int")
@@ -114,4 +114,5 @@ def pack(df: DataFrame, capacity: int, length_col: str = "length", order: tuple[
     ranked = keyed.withColumn("_row", F.row_number().over(within))
     ranked = ranked.join(sizes.select("_length", "_bucket", "_before"), ["_length", "_bucket"])
     ranked = ranked.withColumn("_placed", place(F.col("_length").cast("long"), F.col("_before") + F.col("_row") - 1))
-    return ranked.select(*df.columns, "_placed.sequence_id", "_placed.offset")
+    kept = [c for c in df.columns if c not in ("sequence_id", "offset")]
+    return ranked.select(*kept, "_placed.sequence_id", "_placed.offset")

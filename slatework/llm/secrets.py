@@ -182,8 +182,9 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text",
 def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """df with every span that scan() finds replaced by the mark (overlapping spans by one); null texts stay null. Where
     length_col is a column of df, it gets the characters of a changed text."""
-    found = scan(df, rules, text_col, keep=tuple(df.columns)).withColumnRenamed("spans", "_spans")
-    text = F.col(text_col)
+    names = [f"_f{i}" for i in range(len(df.columns))]
+    text = F.col(names[df.columns.index(text_col)])
+    found = scan(df.toDF(*names), rules, names[df.columns.index(text_col)], keep=tuple(names))
 
     def step(acc: Column, s: Column) -> Column:
         inside = s["start"] < acc["at"]
@@ -192,17 +193,17 @@ def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    clean = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found = found.withColumn("_clean", F.when(F.size("_spans") > 0, clean).otherwise(text))
+    clean = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    found = found.withColumn("clean", F.when(F.size("spans") > 0, clean).otherwise(text))
 
-    def column(c: str) -> Column:
+    def column(name: str, c: str) -> Column:
         if c == text_col:
-            return F.col("_clean").alias(c)
+            return F.col("clean").alias(c)
         if c == length_col:
-            return F.when(F.size("_spans") > 0, F.length("_clean")).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c)
-        return F.col(c)
+            return F.when(F.size("spans") > 0, F.length("clean")).otherwise(F.col(name)).cast(df.schema[c].dataType).alias(c)
+        return F.col(name).alias(c)
 
-    return found.select(*map(column, df.columns))
+    return found.select(*map(column, names, df.columns))
 
 
 def _said(spans: Column) -> Column:

@@ -24,12 +24,25 @@ from pyspark.sql import functions as F
 from .common import limit_arrow, materialize, tasks
 from .vectors import best, pack_rows, ranked, unpack, usable
 
-#: Candidates and queries of one block, candidates of one bucket.
-CANDIDATES, QUERIES, BUCKET = 8_192, 1_024, 1_024
+#: Candidates and queries of one block, candidates of one bucket (at most, and before a bucket may end by length), and the
+#: least length in a bucket, as a share of the greatest.
+CANDIDATES, QUERIES, BUCKET, SMALL_BUCKET, SIMILAR = 8_192, 1_024, 1_024, 64, 0.9
 #: Coordinates tried per query; the share of a bucket up to which coordinates prune better than lengths.
 FOCUS, COORDINATE_SHARE = 3, 0.25
 
 
+def buckets(rows: np.ndarray) -> list[slice]:
+    """Buckets of rows by falling length."""
+    length = np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1))
+    out, at = [], 0
+    while at < len(rows):
+        similar = int(np.searchsorted(-length, -SIMILAR * length[at], side="right"))
+        end = min(len(rows), at + BUCKET, max(similar, at + SMALL_BUCKET))
+        out.append(slice(at, end))
+        at = end
+    return out
+
+
 class Searcher:
     """The k best of a block of queries over buckets that come one after the other."""
 
@@ -143,8 +156,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id
                 ids, data = unpack(ids, data, width, "f8")
                 qids, qdata = unpack(qids, qdata, width, "f8")
                 own = Searcher(qids, qdata, k)
-                for a in range(0, len(ids), BUCKET):
-                    own.bucket(ids[a : a + BUCKET], data[a : a + BUCKET])
+                for part in buckets(data):
+                    own.bucket(ids[part], data[part])
                 query, vec, score = own.found
                 yield pd.DataFrame({"query_id": qids[query], "vec_id": vec, "score": score.astype(np.int64)})
 
