@@ -93,7 +93,7 @@ class Searcher:
         at_query = np.arccos(np.clip(np.take_along_axis(self.unit[queries], self.focus[queries], axis=1), -1, 1))
         low = np.cos(np.minimum(np.pi, at_query + angle[:, None])) - 1e-9
         high = np.cos(np.maximum(0, at_query - angle[:, None])) + 1e-9
-        worth = (high - low).min(axis=1) < 0.5  # wider regions hold most of a bucket
+        worth = (high - low).min(axis=1) < 1.0  # wider regions hold most of a bucket
         if not worth.any():
             return {}
         unit = rows / np.maximum(length, 1e-300)[:, None]
