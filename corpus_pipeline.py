@@ -30,7 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     the smallest doc_id, null last (of equal rows one). Documents without words have no group and stay."""
     found = jaccard.classes(docs, width=5, percent=80).filter("class IS NOT NULL")
     found = materialize(spark, found.select("id", "hash", "class"), "groups")
-    first = found.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "hash")).alias("first"))
+    first = found.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "hash")).alias("first"), F.count("*").alias("n"))
+    first = materialize(spark, first.filter("n > 1").drop("n"), "firsts")
     met = found.join(first, "class")
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash"))
     id_, hash_ = fresh(docs, "id"), fresh(docs, "hash")

@@ -19,7 +19,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tasks
+from .common import materialize, tasks
 
 #: Documents of one segment of the index, on average.
 SEGMENT_ROWS = 4_096
@@ -167,7 +167,10 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text",
     segments = max(tasks(df.sparkSession), -(-df.count() // segment_rows))
     queried = [n for n, r in enumerate(rules) if trigram_query(r.pattern)]
     left = candidates(source.select("_key", "_text"), rules, "_key", "_text", segments)
-    joined = source.join(left.withColumnRenamed("_key", "_of"), F.col("_key") == F.col("_of"), "left")
+    # written, so that its size is known: a small one is broadcast by the session's limit, and beside a large one the
+    # rows of a frequent text can be split
+    left = materialize(df.sparkSession, left.withColumnRenamed("_key", "_of"), "candidates")
+    joined = source.join(left, F.col("_key") == F.col("_of"), "left")
     none = F.array().cast("array<string>")
     cheap = [_cheap(r) for r in rules]
     found = [F.regexp_extract_all("_text", F.lit(r.pattern), F.lit(0)) for r in cheap]
