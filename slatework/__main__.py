@@ -49,23 +49,10 @@ def make_disk(spark: SparkSession, dataset: Path, compiled: Path, runtime: Path,
 
 def file_order(spark: SparkSession, path: str, schema: T.StructType) -> dict[str, bool]:
     """Whether each column of a text table is in order, by the line order of its file."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[0], x[1])).toDF("value string, at long")
-    rows = lines.select("at", F.struct("value").alias("line"))
-    typed = delimited.parse_lines(rows.select("line.value"), schema)  # checks the lines
-    names = typed.columns
-    parts = F.split(F.rtrim("value"), r"\|", -1)
-    kept = lines.select("at", *(F.element_at(parts, i + 1).cast(f.dataType).alias(f"_s{i}") for i, f in enumerate(schema.fields)))
-    run = F.floor(F.col("at") / statistics.RUN_ROWS)
-    from pyspark.sql import Window
-
-    within = Window.partitionBy("_run").orderBy("at")
-    kept = kept.withColumn("_run", run)
-    bad = kept.select("_run", "at", *(F.col(f"_s{i}") for i in range(len(names))), *((F.lag(f"_s{i}").over(within) > F.col(f"_s{i}")).alias(f"_b{i}") for i in range(len(names))))
-    ends = bad.groupBy("_run").agg(*(a for i in range(len(names)) for a in (F.max(f"_b{i}").alias(f"b{i}"), F.min_by(f"_s{i}", "at").alias(f"f{i}"), F.max_by(f"_s{i}", "at").alias(f"l{i}"))))
-    across = Window.orderBy("_run")
-    flags = ends.select(*((F.coalesce(f"b{i}", F.lit(False)) | F.coalesce(F.lag(f"l{i}").over(across) > F.col(f"f{i}"), F.lit(False))).alias(f"b{i}") for i in range(len(names))))
-    found = flags.agg(*(F.max(f"b{i}").alias(f"b{i}") for i in range(len(names)))).first()
-    return {n: found[f"b{i}"] is False for i, n in enumerate(names)}
+    lines = spark.sparkContext.textFile(path).zipWithIndex().toDF("value string, _row long").withColumn("_file", F.lit(0))
+    internal = T.StructType([T.StructField(f"_s{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    numbered = delimited.parse_lines(lines, internal, keep=("_file", "_row"))
+    return dict(map(tuple, statistics.ordered_columns(numbered, schema.fieldNames()).collect()))
 
 
 def make_catalog(spark: SparkSession, dataset: Path, runtime: Path) -> Catalog:

@@ -40,29 +40,52 @@ def scalar_columns(df: DataFrame, columns: Iterable[str] | None = None) -> list[
     return wanted
 
 
-def summary(df: DataFrame, columns: Iterable[str] | None = None, exact: bool = False) -> DataFrame:
-    """column_name, row_count, lower_bound, upper_bound (as text; null for strings), distinct_count, density: a row a column.
+@dataclass
+class Measured:
+    """What one aggregation (and exact counts, where asked for) says about a column."""
+
+    rows: int
+    low: Any
+    high: Any
+    distinct: int
 
-    exact: count all distinct values exactly, whatever their number. An empty table has no statistics.
+    @property
+    def density(self) -> float:
+        return min(1.0, self.distinct / self.rows)
+
+
+def measure(df: DataFrame, columns: Iterable[str] | None = None, exact: bool = False) -> dict[str, Measured]:
+    """Rows, bounds and distinct values of columns; nothing for an empty table.
+
+    A column whose estimated distinct values are near the exact limit or under it is counted exactly: its values fit a set,
+    and all such columns take one more aggregation together. exact: count the others exactly as well, one by one.
     """
     names = scalar_columns(df, columns)
     plain = df.select(*(_quoted(c).alias(f"_s{i}") for i, c in enumerate(names)))
-    kinds = [df.schema[c].dataType for c in names]
     aggs = [F.count("*").alias("n")]
     for i in range(len(names)):
         x = F.col(f"_s{i}")
         aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.approx_count_distinct(x, ERROR).alias(f"d{i}")]
     row = plain.agg(*aggs).first()
+    if not row["n"]:
+        return {}
     counts = {i: row[f"d{i}"] for i in range(len(names))}
-    few = [i for i in counts if exact or counts[i] <= EXACT_LIMIT * (1 + 6 * ERROR)]
-    for i in few:  # one column at a time: values combine before the shuffle, rows aren't multiplied
-        counts[i] = plain.select(f"_s{i}").filter(F.col(f"_s{i}").isNotNull()).distinct().count()
+    few = [i for i in counts if counts[i] <= EXACT_LIMIT * (1 + 6 * ERROR)]
+    if few:
+        sets = plain.agg(*(F.size(F.collect_set(f"_s{i}")).alias(f"d{i}") for i in few)).first()
+        counts |= {i: sets[f"d{i}"] for i in few if exact or sets[f"d{i}"] <= EXACT_LIMIT}
+    if exact:
+        for i in set(counts) - set(few):
+            counts[i] = plain.select(f"_s{i}").filter(F.col(f"_s{i}").isNotNull()).distinct().count()
+    return {c: Measured(row["n"], row[f"lo{i}"], row[f"hi{i}"], counts[i]) for i, c in enumerate(names)}
+
+
+def summary(df: DataFrame, columns: Iterable[str] | None = None, exact: bool = False) -> DataFrame:
+    """column_name, row_count, lower_bound, upper_bound (as text; null for strings), distinct_count, density: a row a column."""
     rows = []
-    for i, (name, kind) in enumerate(zip(names, kinds)):
-        if row["n"]:
-            text = isinstance(kind, T.StringType)
-            bounds = (None, None) if text else (_text(row[f"lo{i}"]), _text(row[f"hi{i}"]))
-            rows.append((name, row["n"], *bounds, counts[i], min(1.0, counts[i] / row["n"])))
+    for name, m in measure(df, columns, exact).items():
+        text = isinstance(df.schema[name].dataType, T.StringType)
+        rows.append((name, m.rows, None if text else _text(m.low), None if text else _text(m.high), m.distinct, m.density))
     return df.sparkSession.createDataFrame(rows, "column_name string, row_count bigint, lower_bound string, upper_bound string, distinct_count bigint, density float")
 
 
@@ -89,14 +112,24 @@ def in_order(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     df must be read from files that number their rows (Parquet). Null values are passed over.
     """
     names = scalar_columns(df, columns)
-    run = F.floor(F.col("_metadata.row_index") / RUN_ROWS)
-    base = df.select(F.col("_metadata.file_path").alias("_file"), run.alias("_run"), F.col("_metadata.row_index").alias("_row"), *(_quoted(c).alias(f"_s{i}") for i, c in enumerate(names)))
+    numbered = df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"), *(_quoted(c).alias(f"_s{i}") for i, c in enumerate(names)))
+    return ordered_columns(numbered, names)
+
+
+def ordered_columns(numbered: DataFrame, names: list[str]) -> DataFrame:
+    """in_order() of columns _s0, _s1, ... by (_file, _row)."""
+    base = numbered.withColumn("_run", F.floor(F.col("_row") / RUN_ROWS))
     within = Window.partitionBy("_file", "_run").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    seen = [(F.last(f"_s{i}", ignorenulls=True).over(within) > F.col(f"_s{i}")).alias(f"_bad{i}") for i in range(len(names))]
-    ends = [a for i in range(len(names)) for a in (F.max(f"_bad{i}").alias(f"bad{i}"), F.min_by(f"_s{i}", F.when(F.col(f"_s{i}").isNotNull(), F.col("_row"))).alias(f"first{i}"), F.max_by(f"_s{i}", F.when(F.col(f"_s{i}").isNotNull(), F.col("_row"))).alias(f"last{i}"))]
-    runs = base.select("*", *seen).groupBy("_file", "_run").agg(*ends)
     across = Window.orderBy("_file", "_run").rowsBetween(Window.unboundedPreceding, -1)  # a row for each run
-    steps = [(F.coalesce(F.col(f"bad{i}"), F.lit(False)) | F.coalesce(F.last(f"last{i}", ignorenulls=True).over(across) > F.col(f"first{i}"), F.lit(False))).alias(f"bad{i}") for i in range(len(names))]
+    seen, ends, steps = [], [], []
+    for i in range(len(names)):
+        x = F.col(f"_s{i}")
+        at = F.when(x.isNotNull(), F.col("_row"))
+        seen.append((F.last(x, ignorenulls=True).over(within) > x).alias(f"_bad{i}"))
+        ends += [F.max(f"_bad{i}").alias(f"bad{i}"), F.min_by(x, at).alias(f"first{i}"), F.max_by(x, at).alias(f"last{i}")]
+        drop = F.last(f"last{i}", ignorenulls=True).over(across) > F.col(f"first{i}")
+        steps.append((F.coalesce(f"bad{i}", F.lit(False)) | F.coalesce(drop, F.lit(False))).alias(f"bad{i}"))
+    runs = base.select("*", *seen).groupBy("_file", "_run").agg(*ends)
     flags = runs.select(*steps).agg(*(F.max(f"bad{i}").alias(f"bad{i}") for i in range(len(names))))
     told = F.array(*(F.struct(F.lit(c).alias("column_name"), (~F.col(f"bad{i}")).alias("is_ordered")) for i, c in enumerate(names)))
     return flags.select(F.explode(told).alias("s")).select("s.*").filter("is_ordered IS NOT NULL")
@@ -125,18 +158,27 @@ class ColumnStatistics:
         return out
 
 
-def collect(df: DataFrame, ordered: dict[str, bool] | None = None) -> dict[str, ColumnStatistics]:
-    """Statistics of every column for a catalog file; empty for an empty table."""
+def equal_shares(values: list, total: int, buckets: int = BUCKETS) -> list[tuple[Any, Any, int]]:
+    """(first, last, frequency) of each bucket of a sample, frequencies scaled to `total` rows."""
+    values = sorted(v for v in values if v is not None)
+    if not values:
+        return []
+    chunk = -(-len(values) // min(buckets, len(values)))
+    parts = [values[i : i + chunk] for i in range(0, len(values), chunk)]
+    return [(p[0], p[-1], int(len(p) * (total / len(values)))) for p in parts]
+
+
+def collect(df: DataFrame, ordered: dict[str, bool] | None = None, seed: int = 17) -> dict[str, ColumnStatistics]:
+    """Statistics of every column for a catalog file; empty for an empty table. One sample of rows serves all histograms."""
+    found = measure(df)
+    if not found:
+        return {}
+    total = next(iter(found.values())).rows
+    rows = df.select(*map(_quoted, found))
+    sample = (rows if total <= SAMPLE else rows.orderBy(F.rand(seed)).limit(SAMPLE)).collect()
     out = {}
-    for r in summary(df).collect():
-        name, kind = r["column_name"], df.schema[r["column_name"]].dataType
-        text = isinstance(kind, T.StringType)
-        bounds = None
-        if not text:
-            lo, hi = df.agg(F.min(_quoted(name)), F.max(_quoted(name))).first()
-            bounds = lo, hi
-        buckets = None
-        if not text or r["distinct_count"] <= STRING_LIMIT:
-            buckets = [(b["lower_bound"], b["upper_bound"], b["frequency"]) for b in histogram(df, name).orderBy("bucket").collect()]
-        out[name] = ColumnStatistics((ordered or {}).get(name, False), bounds, r["distinct_count"], r["density"], buckets)
+    for i, (name, m) in enumerate(found.items()):
+        text = isinstance(df.schema[name].dataType, T.StringType)
+        buckets = equal_shares([r[i] for r in sample], m.rows) if not text or m.distinct <= STRING_LIMIT else None
+        out[name] = ColumnStatistics((ordered or {}).get(name, False), None if text else (m.low, m.high), m.distinct, m.density, buckets)
     return out

@@ -30,8 +30,8 @@ def parse_schema(text: str) -> T.StructType:
     return T.StructType([T.StructField(n, CATALOG_TYPES[SCHEMA_TYPES[t.upper()]]) for n, t in zip(names, types)])
 
 
-def parse_lines(df: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
-    """Typed rows of a column of lines, in the JVM."""
+def parse_lines(df: DataFrame, schema: T.StructType, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed rows of a column of lines, in the JVM, after the columns of df named in `keep`."""
     line = F.rtrim(F.regexp_replace(column, "\r$", ""))
     wide = len(schema)
     parts = F.split(line, r"\|", -1)
@@ -43,7 +43,7 @@ def parse_lines(df: DataFrame, schema: T.StructType, column: str = "value") -> D
         text = F.element_at("_parts", i + 1)
         return text.alias(f.name) if isinstance(f.dataType, T.StringType) else _number(text, f).alias(f.name)
 
-    return df.select(checked.alias("_parts")).select(*(field(i, f) for i, f in enumerate(schema.fields)))
+    return df.select(*keep, checked.alias("_parts")).select(*keep, *(field(i, f) for i, f in enumerate(schema.fields)))
 
 
 def _number(text: Column, f: T.StructField) -> Column:
