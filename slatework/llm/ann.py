@@ -208,5 +208,5 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = 0.96, i
                 keep = best(at, ids[col], score, k)
                 yield pd.DataFrame({"query_id": qids[at[keep]], "vec_id": ids[col[keep]], "score": score[keep]})
 
-    pairs = asked.join(blocks.hint("shuffle_hash"), ["list", "chunk"]).select("qids", "qdata", "ids", "data")
+    pairs = asked.join(blocks, ["list", "chunk"]).select("qids", "qdata", "ids", "data")
     return ranked(pairs.mapInPandas(run, "query_id bigint, vec_id bigint, score double"), k)

@@ -1,7 +1,8 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star steps.
 
-Every step is a pair of shuffles over the edges; the edge list is written to the shared folder after each round, and a
-node's neighbours are never collected. Nodes are longs; self-loops and repeated edges are harmless.
+The edge list is written to the shared folder after each round, and a node's neighbours are never collected. The least
+neighbours are written as well before the edges meet them: beside a written table Spark can split the rows of a node with
+very many edges. Nodes are longs; self-loops and repeated edges are harmless.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.union(edges.select("b", "a")).toDF("u", "v")
     else:
         near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialize(edges.sparkSession, near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     out = near.join(least.withColumnRenamed("u", "_u"), F.col("u") == F.col("_u"))
     if large:
         linked = out.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))

@@ -331,7 +331,7 @@ def _walk(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
 def _canopies(frequent: DataFrame, block_nodes: int, block_shingles: int) -> DataFrame:
     """node, canopy, blocks, block: canopies of postings (token, node, n) of frequent shingles, and their blocks."""
     spark = frequent.sparkSession
-    first = frequent.groupBy("token").agg(F.min("node").alias("b"))
+    first = materialize(spark, frequent.groupBy("token").agg(F.min("node").alias("b")), "firsts")
     found = components(frequent.select("token", F.col("node").alias("a")).join(first, "token").select("a", "b"))
     sized = frequent.select("node", "n").distinct().join(found, "node").select("node", "n", F.col("component").alias("canopy"))
     sized = materialize(spark, sized, "canopies")
@@ -381,7 +381,7 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     fits = "100 * least(n, m) >= {0} * greatest(n, m)".format(percent)
     mins = members.filter("n > 0").select("node", "n", F.posexplode("mins").alias("k", "v"))
     groups = mins.groupBy("k", "v").agg(F.min(F.struct("node", "n")).alias("c"), F.max("node").alias("top")).filter("c.node != top")
-    groups = groups.select("k", "v", F.col("c.node").alias("center"), F.col("c.n").alias("m"))
+    groups = materialize(spark, groups.select("k", "v", F.col("c.node").alias("center"), F.col("c.n").alias("m")), "groups")
     stars = mins.join(groups, ["k", "v"]).filter("node != center").filter(fits).select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     stars = materialize(spark, possible(stars, profiles, percent), "stars")
     posted = materialize(spark, _post(docs, width, percent, sketch, _node_filter(stars.select(F.explode(F.array("a", "b"))))), "posted")
@@ -397,6 +397,7 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     discard(spark, posted)
     shared = shared.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("token", "node", "n", "l", F.coalesce("component", "node").alias("class"))
     live = shared.groupBy("token").agg(F.count("*").alias("posts"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi").select("token", "posts")
+    live = materialize(spark, live, "tokens")
     live = materialize(spark, shared.join(live, "token"), "live")
 
     # rare shingles make pairs, frequent ones canopies

@@ -161,5 +161,5 @@ def search(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id
                 query, vec, score = own.found
                 yield pd.DataFrame({"query_id": qids[query], "vec_id": vec, "score": score.astype(np.int64)})
 
-    pairs = queries.join(blocks.hint("shuffle_hash"), "part").select("qids", "qdata", "ids", "data")
+    pairs = queries.join(blocks, "part").select("qids", "qdata", "ids", "data")
     return ranked(pairs.mapInPandas(run, "query_id bigint, vec_id bigint, score bigint"), k)
