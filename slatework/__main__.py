@@ -42,9 +42,9 @@ def make_disk(spark: SparkSession, dataset: Path, compiled: Path, runtime: Path,
         path = compiled.resolve() / f"{name}.bin"
         blocks.write(df, path, block_size)
         files.append({"id": name, "file_path": str(path)})
-    disk = disk_model.Disk(block_size=block_size)
-    disk_model.layout(((f["id"], Path(f["file_path"]).stat().st_size) for f in files), block_size)
-    (runtime / "disk_sim_config.json").write_text(json.dumps({"disk_config": disk.to_json(), "files": files}, indent=2))
+    config = runtime / "disk_sim_config.json"
+    config.write_text(json.dumps({"disk_config": disk_model.Disk(block_size=block_size).to_json(), "files": files}, indent=2))
+    disk_model.load_config(config)
 
 
 def file_order(spark: SparkSession, path: str, schema: T.StructType) -> dict[str, bool]:

@@ -7,7 +7,9 @@ window is partitioned, and each run gets the end of the run before it from a sma
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, fields
+from pathlib import Path
 from typing import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -69,6 +71,22 @@ def layout(sizes: Iterable[tuple[str, int]], block_size: int = 4096) -> tuple[li
     return extents, max((e.start_block + e.num_blocks for e in extents), default=0) + least
 
 
+def load_config(path: str | Path) -> tuple[Disk, list[tuple[str, int]]]:
+    """The disk and the (id, bytes) of its files from a configuration file; checked by laying them out."""
+    given = json.loads(Path(path).read_text(encoding="utf-8"))
+    if set(given) != {"disk_config", "files"}:
+        raise PlanError("a disk configuration has the members disk_config and files")
+    disk = Disk.from_json(given["disk_config"])
+    sizes = []
+    for f in given["files"]:
+        file = Path(f["file_path"])
+        if not file.exists():
+            raise PlanError(f"file {file} doesn't exist")
+        sizes.append((f["id"], file.stat().st_size))
+    layout(sizes, disk.block_size)
+    return disk, sizes
+
+
 def check_writes(trace: DataFrame, scratch_start: int) -> DataFrame:
     """The accesses of a trace (seq, kind, start_block, num_blocks) that write below the scratch region."""
     return trace.filter((F.col("kind") == "write") & (F.col("start_block") < scratch_start))

@@ -110,6 +110,11 @@ def test_command_line(spark, tmp_path, capsys):
     (data / "t.csv").write_text("1|x|\n2|y|\n2|x|\n")
     assert cli.main(["all", "-d", str(data), "-c", str(out), "-r", str(run)]) == 0
     assert (out / "t.bin").stat().st_size == 4096 and (out / "database.sqlite").exists()
+    disk, sizes = disk_model.load_config(run / "disk_sim_config.json")
+    assert disk == disk_model.Disk() and sizes == [("t", 4096)]
+    (out / "t.bin").write_bytes(b"")
+    with pytest.raises(PlanError):
+        disk_model.load_config(run / "disk_sim_config.json")
     stats = {c["column_name"]: c["stats"] for c in __import__("json").loads((run / "db_config.json").read_text())["table_specs"][0]["column_specs"]}
     assert stats["a"][0] == "IsPhysicallyOrdered" and "IsPhysicallyOrdered" not in stats["s"] and {"CardinalityStat": 2} in stats["a"]
     assert len(suites.load_suite(run / "monitor_config.json")) == 2
