@@ -12,6 +12,7 @@ Null and empty texts have 0 tokens and 0 bytes. Every row is handled alone; extr
 from __future__ import annotations
 
 import re
+import zlib
 from typing import Iterator
 
 import numpy as np
@@ -19,14 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_arrow
+from .common import limit_arrow, per_process
 
 MARK = "▁"
 NO_RANK = np.int64(1) << 40
 
 
 class PieceCounter:
-    def __init__(self, model: bytes, cache_size: int = 300_000):
+    def __init__(self, model: bytes, cache_size: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -184,7 +185,7 @@ def count_tokens(df: DataFrame, model_path: str, text_col: str = "text", keep: t
 
     @F.pandas_udf("bigint")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = PieceCounter(model.value)
+        counter = per_process(("pieces", len(model.value), zlib.crc32(model.value)), lambda: PieceCounter(model.value))
         for texts in batches:
             yield pd.Series(counter.texts(texts.tolist()), dtype="int64")
 
