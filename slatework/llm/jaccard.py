@@ -95,7 +95,7 @@ def profile(shingles: np.ndarray) -> bytes:
 
 
 class NodeFilter:
-    """A Bloom filter of fixed size over nodes; what it lets through is checked by a join."""
+    """A Bloom filter of fixed size over nodes or text hashes; what it lets through is checked by a join."""
 
     def __init__(self, bits: np.ndarray | None = None):
         self.bits = np.zeros(FILTER_BITS // 8, np.uint8) if bits is None else bits
@@ -109,8 +109,12 @@ class NodeFilter:
         for at in self.places(nodes):
             np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
+    def has(self, nodes: np.ndarray) -> np.ndarray:
+        a, b = (self.bits[at >> 3] >> (at & 7) & 1 for at in self.places(nodes))
+        return (a & b).astype(bool)
+
     def __contains__(self, node: int) -> bool:
-        return all(self.bits[at[0] >> 3] >> (at[0] & 7) & 1 for at in self.places(np.array([node], np.int64)))
+        return bool(self.has(np.array([node], np.int64))[0])
 
 
 def _add_up(parts: DataFrame, kind: str, slices: int) -> np.ndarray:
@@ -224,17 +228,17 @@ def _post(docs: DataFrame, width: int, percent: int, sketch: np.ndarray, wanted:
 
 
 def _sets(docs: DataFrame, width: int, wanted: NodeFilter) -> DataFrame:
-    """node, shingles of the wanted nodes (and, rarely, of others)."""
+    """node, shingles of the documents whose text hash is wanted (and, rarely, of others)."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted.bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, wanted, done = per_process(("shingler", width), lambda: Shingler(width)), NodeFilter(shared.value), set()
         for batch in batches:
             rows = []
-            for text in batch["text"]:
+            for text in batch["text"][wanted.has(batch["hash"].to_numpy(np.int64))]:
                 s = shingler(text)
                 node = node_of(s)
-                if len(s) and node not in done and node in wanted:
+                if len(s) and node not in done:
                     if len(done) < 1_000_000:
                         done.add(node)
                     rows.append((node, s.tobytes()))
@@ -375,7 +379,7 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     survey = materialize(spark, _survey(docs, width), "survey")
     sketch = _add_up(survey.filter("part IS NOT NULL").select("part", "data"), "u4", SLICES)
     members = survey.filter("part IS NULL").select("id", "hash", "node", "n", "mins")
-    profiles = survey.filter("part IS NULL AND n > 0").groupBy("node").agg(F.first("profile").alias("profile"))
+    profiles = materialize(spark, survey.filter("part IS NULL AND n > 0").groupBy("node").agg(F.first("profile").alias("profile")), "profiles")
 
     # groups by min-hash, each document against the least node of its group, where the sizes allow a link
     fits = "100 * least(n, m) >= {0} * greatest(n, m)".format(percent)
@@ -385,7 +389,7 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     stars = mins.join(groups, ["k", "v"]).filter("node != center").filter(fits).select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     stars = materialize(spark, possible(stars, profiles, percent), "stars")
     posted = materialize(spark, _post(docs, width, percent, sketch, _node_filter(stars.select(F.explode(F.array("a", "b"))))), "posted")
-    sets = posted.filter("shingles IS NOT NULL").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(spark, posted.filter("shingles IS NOT NULL").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     links = materialize(spark, verified(stars, sets, percent), "links")
     found = materialize(spark, components(links), "classes")
 
@@ -395,6 +399,7 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     shared = posts.withColumn("_near", F.coalesce(F.lag("node").over(beside), F.lead("node").over(beside))).filter("_near IS NOT NULL").drop("_near")
     shared = materialize(spark, shared, "shared")
     discard(spark, posted)
+    discard(spark, sets)
     shared = shared.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("token", "node", "n", "l", F.coalesce("component", "node").alias("class"))
     live = shared.groupBy("token").agg(F.count("*").alias("posts"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi").select("token", "posts")
     live = materialize(spark, live, "tokens")
@@ -411,7 +416,8 @@ def classes(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     wanted = wanted if canopies is None else wanted.union(canopies.select("node"))
     if not wanted.isEmpty():
-        sets = _sets(docs, width, _node_filter(wanted)).groupBy("node").agg(F.first("shingles").alias("shingles"))
+        texts = members.join(wanted.distinct(), "node", "left_semi").select("hash")
+        sets = _sets(docs, width, _node_filter(texts)).groupBy("node").agg(F.first("shingles").alias("shingles"))
         sets = materialize(spark, sets, "sets")
         more = links.union(verified(pairs, sets, percent))
         if canopies is not None:
