@@ -14,7 +14,6 @@ Extra columns are ignored; equal texts get equal predictions.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from dataclasses import dataclass
@@ -22,6 +21,7 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ CALIBRATION_TEXTS, CACHE_WORDS = 4_000, 200_000
 #: Letters that count towards the score's certainty, at most.
 SURE_LETTERS = 200
 EDGE = "\x02"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

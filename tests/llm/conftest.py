@@ -4,7 +4,7 @@ import pytest
 
 TEXTS = [
     None, "", "   \n\t ", "a", "Hello, World! don't STOP", "ﬁne café naïve ÉTÉ Σίσυφος", "x" * 3000, "word " * 4000, "<|endoftext|>a<|startoftext|> <|ENDOFTEXT|>",
-    "tabs\tand\nlines\r\n  double  spaces ", "中文字符 और हिन्दी 👍🏽", "\x1c\x1f\x85 odd space", "a\u0000b", "12 345 6.7e8", "▁mark ▁▁ x",
+    "tabs\tand\nlines\r\n  double  spaces ", "中文字符 और हिन्दी 👍🏽", "\x1c\x1f\x85 odd space", "a\u0000b", "12 345 6.7e8", "▁mark ▁▁ x", "² ½ Ⅷ ٣ _ 1",
 ]
 
 
