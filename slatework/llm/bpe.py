@@ -48,7 +48,7 @@ def byte_letters() -> list[str]:
 class ChunkCache(dict):
     """chunk -> value, at most two generations of `size` entries; what the older one still has is kept when used."""
 
-    def __init__(self, compute, size: int = 300_000):
+    def __init__(self, compute, size: int = 240_000):
         super().__init__()
         self.compute, self.size, self.old = compute, size, {}
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
+import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,10 +74,20 @@ def tasks(spark: SparkSession) -> int:
 _BUILT: dict = {}
 
 
+def trim() -> None:
+    """Give what this worker has freed back to the system: Python's objects, Arrow's pool, the C library's heap."""
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: large arrays aren't kept when they are freed
+        libc.malloc_trim(0)
+
+
 def per_process(key, build):
     """The object of this key, built once in a Python worker, which serves many tasks. Only the last one is kept."""
     if key not in _BUILT:
         _BUILT.clear()
-        gc.collect()
+        trim()
         _BUILT[key] = build()
     return _BUILT[key]

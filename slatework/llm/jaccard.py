@@ -46,7 +46,7 @@ FREQUENT, BLOCK_NODES, BLOCK_SHINGLES = 32, 1_024, 2_000_000
 #: Classes of a profile.
 PROFILE = 64
 #: Min-hashes per document for the groups; largest l; cost of verifying one candidate, in postings; words kept hashed.
-MINHASHES, MOST_MATCHES, VERIFY_COST, CACHE_WORDS = 4, 8, 20.0, 200_000
+MINHASHES, MOST_MATCHES, VERIFY_COST, CACHE_WORDS = 4, 8, 20.0, 120_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 

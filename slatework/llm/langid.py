@@ -30,7 +30,7 @@ from .common import limit_arrow, materialize, per_process
 #: Letters of an n-gram; n-grams of an order that a language keeps; distinct words that a counting task holds.
 ORDER, MODEL_NGRAMS, FLUSH_WORDS = 4, 100_000, 100_000
 #: Labelled texts that the rejection limit is calibrated on, at most (in expectation), and words of the cache.
-CALIBRATION_TEXTS, CACHE_WORDS = 4_000, 200_000
+CALIBRATION_TEXTS, CACHE_WORDS = 4_000, 150_000
 #: Letters that count towards the score's certainty, at most.
 SURE_LETTERS = 200
 EDGE = "\x02"
