@@ -4,8 +4,8 @@ Each language has one model over the letters of words (lower case, a boundary be
 cross words, so a word's cost is a constant and is cached. N-grams are kept as sorted arrays of 64-bit hashes with their
 discounted probability, contexts as sorted arrays with their back-off weight. A text gets the language with the lowest
 cross-entropy per letter; ties go to the smaller name. The prediction is rejected (`und`) for texts without letters, and,
-with `reject=True`, for those whose cross-entropy exceeds what labelled texts of that language reach (calibrated on a
-bounded sample) by more than `margin`.
+with `reject=True`, for those whose cross-entropy exceeds what labelled texts of that language reach (the greatest of all
+that are rightly predicted) by more than `margin`. A language without such a text rejects none.
 
 Learning counts n-grams over all labelled texts; a model keeps the MODEL_NGRAMS most frequent n-grams of each order.
 Null texts, empty texts and texts without letters are `und` with score 0. Without any labelled text all are `und`.
@@ -29,8 +29,8 @@ from .common import limit_arrow, materialize, per_process
 
 #: Letters of an n-gram; n-grams of an order that a language keeps; distinct words that a counting task holds.
 ORDER, MODEL_NGRAMS, FLUSH_WORDS = 4, 100_000, 100_000
-#: Labelled texts that the rejection limit is calibrated on, at most (in expectation), and words of the cache.
-CALIBRATION_TEXTS, CACHE_WORDS = 4_000, 150_000
+#: Words of the cache.
+CACHE_WORDS = 150_000
 #: Letters that count towards the score's certainty, at most.
 SURE_LETTERS = 200
 EDGE = "\x02"
@@ -283,10 +283,8 @@ def fit(df: DataFrame, labelled: Column, lang_col: str = "lang", text_col: str =
 
 
 def _calibrate(rows: DataFrame, models: dict[str, KneserNey], lang_col: str, text_col: str, margin: float) -> dict[str, float]:
-    """The largest cross-entropy of labelled sample texts of each language, plus a share of it."""
-    share = min(1.0, CALIBRATION_TEXTS / max(1, rows.count()))
-    sample = rows.filter(F.pmod(F.xxhash64(text_col), F.lit(1_000_003)) < F.lit(int(share * 1_000_003)) + 1)
-    sample = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    """The largest cross-entropy of all rightly predicted labelled texts of each language, plus a share of it."""
+    texts = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     shared, key = rows.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,7 +294,7 @@ def _calibrate(rows: DataFrame, models: dict[str, KneserNey], lang_col: str, tex
             hit = (found["lang"] == batch["lang"].to_numpy()).to_numpy()
             yield pd.DataFrame({"lang": batch["lang"].to_numpy()[hit], "bits": found["bits"].to_numpy()[hit]})
 
-    most = sample.mapInPandas(measure, "lang string, bits double").groupBy("lang").agg(F.max("bits")).collect()
+    most = texts.mapInPandas(measure, "lang string, bits double").groupBy("lang").agg(F.max("bits")).collect()
     return {name: bits * (1 + margin) for name, bits in most}
 
 

@@ -118,6 +118,19 @@ def test_identification(spark, two_languages, odd_docs):
     assert next(r for r in odd if r["text"] and r["text"].startswith("中"))["q"]["lang"] == "und"
 
 
+def test_no_clean_labelled_text_is_rejected_in_a_large_table(spark):
+    rng = random.Random(6)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(6))
+    rows = [(i, make("abcde") if i % 2 else make("uvwxy"), "l1" if i % 2 else "l2") for i in range(12_000)]
+    rows += [(20_000, "\u0436 \u0448 \u0449 \u044e \u044f", "l1"), (20_001, "\u03b3 \u03b4 \u03b8 \u03bb \u03be", "l2")]  # clean, but of rare letters
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ident = langid.fit(df, F.lit(True))
+    told = df.select("doc_id", "lang", langid.predict(spark, ident, F.col("text"))["lang"].alias("plain"), langid.predict(spark, ident, F.col("text"), reject=True)["lang"].alias("told")).collect()
+    right = [r for r in told if r["lang"] == r["plain"]]
+    assert {20_000, 20_001} <= {r["doc_id"] for r in right}
+    assert [r["doc_id"] for r in right if r["told"] == "und"] == []
+
+
 def test_no_labels(spark, two_languages):
     for df in (two_languages.limit(0), two_languages.withColumn("lang", F.lit(None).cast("string"))):
         ident = langid.fit(df, F.lit(True))
