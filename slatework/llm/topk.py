@@ -9,7 +9,8 @@ length (the prefix of the bucket that is long enough). What is left is verified
 Vectors are scaled and floored first. Query blocks meet candidate blocks (both of bounded size) one pair at a time; each
 pair yields at most k rows a query. Null vectors and vectors with a null or non-finite component take no part. Shorter
 vectors count as filled up with zeros. Ties go to the smaller id; equal rows of one id are equal candidates, and a
-candidate with the query's own id is passed over. Components beyond 2**53 / scale aren't supported.
+candidate with the query's own id is passed over. Every row of a query id searches, and the lists of its rows are ranked
+together, so a candidate comes once for each of them. Components beyond 2**53 / scale aren't supported.
 """
 
 from __future__ import annotations
@@ -122,9 +123,10 @@ class Searcher:
             needed = np.where(self.length[queries] > 0, self.least[queries] / self.length[queries], -np.inf) * (1 - 1e-12)
         upto = np.searchsorted(-length, -needed, side="right")
         score = self.q[queries] @ rows[: upto.max()].T
+        score[self.ids[queries][:, None] == ids[None, : score.shape[1]]] = -np.inf  # an id can have any number of rows
         least = self.least[queries]
-        if score.shape[1] > self.k + 1:
-            least = np.maximum(least, np.partition(score, -self.k - 1, axis=1)[:, -self.k - 1])
+        if score.shape[1] > self.k:
+            least = np.maximum(least, np.partition(score, -self.k, axis=1)[:, -self.k])
         hit = score >= least[:, None]
         at, col = np.nonzero(hit)
         self.add(queries[at], ids[col], score[at, col])

@@ -148,6 +148,18 @@ def test_exact_topk(vectors):
             assert got[q] == [(i, int(s)) for i, s in best], q
 
 
+def test_exact_topk_of_an_id_with_many_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4))
+    rows = [(i, x[i].tolist()) for i in range(60)] + [(0, (x[0] * s).tolist()) for s in (3.0, 2.5, 2.0, 1.5, 1.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.search(df, F.col("vec_id") == 0, k=5).collect())
+    # as the query's SQL has it: every row of the id is a query, and their lists are ranked together
+    scaled = [(i, np.floor(64 * np.array(v))) for i, v in rows]
+    pairs = [(-int(v @ q), i) for j, q in scaled if j == 0 for i, v in scaled if i != 0]
+    assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(sorted(pairs)[:5])]
+
+
 def test_exact_topk_prunes_by_coordinates():
     rng = np.random.default_rng(0)
     centers = rng.normal(size=(40, 16))
