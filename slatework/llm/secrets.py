@@ -1,8 +1,8 @@
 r"""Secret scans with a trigram inverted index. DataFrame functions only on the main path.
 
 From each rule's regular expression a Boolean query over trigrams is derived: the trigrams of every literal that a match
-must hold, OR over the alternatives. Texts are indexed by the trigrams that occur in any of these queries (lower case), as
-posting lists per segment of documents. A rule's candidates are the intersections (AND) and unions (OR) of its posting
+must hold, OR over the alternatives. Texts that satisfy some query by themselves are indexed by the trigrams that occur in any
+of these queries (lower case), as posting lists per segment of documents. A rule's candidates are the intersections (AND) and unions (OR) of its posting
 lists; they are verified with the regular expression. Rules without a mandatory trigram scan every text.
 
 Segments are hash buckets of documents, so that a posting list never holds more than a segment. Spans are in code points,
