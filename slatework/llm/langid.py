@@ -3,13 +3,21 @@
 Each language has one model over the letters of words (lower case, a boundary before and after each word); contexts do not
 cross words, so a word's cost is a constant and is cached. N-grams are kept as sorted arrays of 64-bit hashes with their
 discounted probability, contexts as sorted arrays with their back-off weight. A text gets the language with the lowest
-cross-entropy per letter; ties go to the smaller name. The prediction is rejected (`und`) for texts without letters, and,
-with `reject=True`, for those whose cross-entropy exceeds what labelled texts of that language reach (the greatest of all
-that are rightly predicted) by more than `margin`. A language without such a text rejects none.
+cross-entropy per letter; ties go to the smaller name. Texts without letters are `und`.
 
-Learning counts n-grams over all labelled texts; a model keeps the MODEL_NGRAMS most frequent n-grams of each order.
-Null texts, empty texts and texts without letters are `und` with score 0. Without any labelled text all are `und`.
-Extra columns are ignored; equal texts get equal predictions.
+Learning. The n-grams of the longest order are counted over all labelled texts; continuation counts, discounts and context
+totals of every order are aggregations over all of them. Of the finished probabilities a model stores ENTRIES // languages
+of each order, the most frequent ones; the weight of a context is what its stored n-grams leave, so what isn't stored is
+backed off and nothing is learnt from a part of the counts. More than MOST_LANGUAGES languages raise.
+
+Calibrated rejection. The models learn from nine in ten of the labelled texts (by a hash of the text), and the tenth, which
+they haven't seen, tells what cross-entropy texts of a language reach: with x the bits per letter above the language's mean,
+times the root of the letters (SURE_LETTERS at most), the limit is the QUANTILE of x over the rightly predicted texts, times
+1 + margin. So no single text decides, and short texts, whose cross-entropy varies more, aren't rejected for being short. A
+language without such texts gets the most lenient limit of the others, or none.
+
+Null texts, empty texts and texts without letters are `und` with score 0 and are rejected. Without any labelled text all are
+`und`. Extra columns are ignored; equal texts get equal predictions.
 """
 
 from __future__ import annotations
@@ -27,12 +35,15 @@ from pyspark.sql import functions as F
 
 from .common import limit_arrow, materialize, per_process
 
-#: Letters of an n-gram; n-grams of an order that a language keeps; distinct words that a counting task holds.
-ORDER, MODEL_NGRAMS, FLUSH_WORDS = 4, 100_000, 100_000
+#: Letters of an n-gram; probabilities of one order that the models of all languages store together; languages at most;
+#: distinct words that a counting task holds.
+ORDER, ENTRIES, MOST_LANGUAGES, FLUSH_WORDS = 4, 1_000_000, 256, 100_000
 #: Words of the cache.
 CACHE_WORDS = 150_000
-#: Letters that count towards the score's certainty, at most.
+#: Letters that count towards the score's certainty and the rejection, at most.
 SURE_LETTERS = 200
+#: Of how many labelled texts one calibrates the rejection; the quantile of its limit; the alphabet that unseen letters share.
+FOLDS, QUANTILE, ALPHABET = 10, 0.999, 2_000
 EDGE = "\x02"
 _LETTERS = regex.compile(r"\p{L}+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -73,7 +84,7 @@ def ngram_counts(df: DataFrame, lang: str, text: str) -> DataFrame:
         settle()
         yield rows()
 
-    rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     return rows.mapInPandas(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -116,45 +127,26 @@ class KneserNey:
 
     grams: list[Sorted]
     contexts: list[Sorted]
-    floor: float
     longest: np.ndarray  # letter codes of its n-grams of ORDER letters
+    floor: float = 1.0 / ALPHABET
 
     @classmethod
-    def fit(cls, counts: dict[str, int], most: int = MODEL_NGRAMS, alphabet: int = 2_000) -> "KneserNey":
+    def of(cls, shares: list[tuple[list[str], np.ndarray]]) -> "KneserNey":
+        """shares[k]: the stored n-grams of k + 1 letters with their discounted shares of their contexts."""
         grams, contexts = [], []
-        level = counts
-        levels = []
-        for k in range(ORDER, 0, -1):
-            levels.append(level)
-            shorter: Counter = Counter()  # lower orders count the distinct letters before, not the occurrences
-            for g in level:
-                shorter[g[1:]] += 1
-            level = shorter
-        for k, level in enumerate(reversed(levels), start=1):
-            if len(level) > most:
-                level = dict(sorted(level.items(), key=lambda x: (-x[1], x[0]))[:most])
-            names, n = list(level), np.fromiter(level.values(), np.float64, len(level))
-            once, twice = (n == 1).sum(), (n == 2).sum()
-            discount = once / (once + 2 * twice) if once and twice else 0.5
+        for k, (names, share) in enumerate(shares, start=1):
             codes = _codes(names, k)
-            if k == 1:
-                total, kinds = n.sum(), len(n)
-                share = (n - discount) / total
-                contexts.append(Sorted.of(np.zeros(1, np.uint64), np.array([discount * kinds / total])))
-            else:
-                keys, inverse = np.unique(_hash(codes[:, :-1]), return_inverse=True)
-                total, kinds = np.bincount(inverse, n), np.bincount(inverse)
-                share = (n - discount) / total[inverse]
-                contexts.append(Sorted.of(keys, discount * kinds / total))
+            keys, inverse = np.unique(_hash(codes[:, :-1]) if k > 1 else np.zeros(len(codes), np.uint64), return_inverse=True)
+            contexts.append(Sorted.of(keys, 1 - np.bincount(inverse, share, len(keys))))
             grams.append(Sorted.of(_hash(codes), share))
-        return cls(grams, contexts, 1.0 / alphabet, codes)
+        return cls(grams, contexts, codes)
 
     def costs(self, codes: np.ndarray) -> np.ndarray:
         """-log2 of the last letter after the others, for rows of ORDER letter codes."""
         p = np.full(len(codes), self.floor)
         for k in range(1, ORDER + 1):
             part = codes[:, ORDER - k :]
-            weight = self.contexts[0].values[0] if k == 1 else self.contexts[k - 1].get(_hash(part[:, :-1]), 1.0)
+            weight = self.contexts[0].values[0] if k == 1 else self.contexts[k - 1].get(_hash(part[:, :-1]), 1.0)  # 1: unseen
             p = self.grams[k - 1].get(_hash(part), 0.0) + weight * p
         return -np.log2(p)
 
@@ -162,10 +154,12 @@ class KneserNey:
 class Identifier:
     """Costs of texts under every language's model."""
 
-    def __init__(self, models: dict[str, KneserNey], limits: dict[str, float] | None = None):
+    def __init__(self, models: dict[str, KneserNey], limits: dict[str, tuple[float, float]] | None = None):
+        """limits: by language the mean of the bits per letter, and the limit of the deviation from it."""
         self.names = sorted(models)
         self.models = [models[n] for n in self.names]
-        self.limits = np.array([(limits or {}).get(n, np.inf) for n in self.names])
+        lenient = max(limits.values(), key=lambda x: x[0] + x[1], default=(0.0, np.inf)) if limits else (0.0, np.inf)
+        self.limits = np.array([(limits or {}).get(n, lenient) for n in self.names]).reshape(-1, 2)
         self.place: dict[str, int] = {}
         self.table = np.zeros((1, len(self.names) + 1))
         # the costs of all n-grams that some language has seen, for every language, in one sorted hash array
@@ -235,10 +229,10 @@ class Identifier:
         settle()
         return out
 
-    def predict(self, texts: list[str | None], reject: bool) -> pd.DataFrame:
-        """lang, score (the certainty among the languages, 0 to 1), bits (cross-entropy per letter)."""
+    def predict(self, texts: list[str | None]) -> pd.DataFrame:
+        """lang, score (the certainty among the languages, 0 to 1), bits (cross-entropy per letter), letters, rejected."""
         if not self.names:
-            return pd.DataFrame({"lang": ["und"] * len(texts), "score": 0.0, "bits": 0.0})
+            return pd.DataFrame({"lang": ["und"] * len(texts), "score": 0.0, "bits": 0.0, "letters": 0, "rejected": True})
         found = self.measure(texts)
         letters = found[:, -1]
         bits = found[:, :-1] / np.maximum(letters, 1)[:, None]
@@ -246,68 +240,114 @@ class Identifier:
         low = bits[np.arange(len(bits)), best]
         gap = np.minimum((bits - low[:, None]) * np.minimum(letters, SURE_LETTERS)[:, None], 1000)
         score = 1 / (2.0**-gap).sum(axis=1)
-        no = letters == 0
-        if reject:
-            no |= low > self.limits[best]
+        none = letters == 0
+        mean, limit = self.limits[best].T
         names = np.array([*self.names, "und"], dtype=object)
-        return pd.DataFrame({"lang": names[np.where(no, len(self.names), best)], "score": np.where(letters == 0, 0.0, score), "bits": low})
+        return pd.DataFrame({
+            "lang": names[np.where(none, len(self.names), best)], "score": np.where(none, 0.0, score), "bits": low,
+            "letters": letters.astype(np.int64), "rejected": none | (deviation(low, letters, mean) > limit),
+        })
 
 
-def fit(df: DataFrame, labelled: Column, lang_col: str = "lang", text_col: str = "text", margin: float = 0.75, calibrate: bool = True) -> Identifier:
-    """Learn one model per language from the rows where `labelled` holds and language and text are not null."""
-    spark = df.sparkSession
-    limit_arrow(spark)
-    rows = df.filter(labelled)
-    counts = materialize(spark, ngram_counts(rows, lang_col, text_col), "ngrams")
-    # at most MODEL_NGRAMS n-grams of each language come to the driver: whole steps of falling counts
+def deviation(bits, letters, mean):
+    """How far a text's bits per letter are above the mean, as the rejection measures it; for arrays or columns' values."""
+    return (bits - mean) * np.sqrt(np.clip(letters, 1, SURE_LETTERS))
+
+
+def _levels(longest: DataFrame) -> list[DataFrame]:
+    """Tables (lang, gram, n) of the orders from 1 to ORDER: occurrences at the top, distinct letters before below it."""
+    out = [longest]
+    for k in range(ORDER - 1, 0, -1):
+        out.append(out[-1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")))
+        out[-1] = materialize(longest.sparkSession, out[-1], f"grams-{k}")
+    return out[::-1]
+
+
+def _most_frequent(level: DataFrame, most: int) -> DataFrame:
+    """Of each language's rows at most `most` by falling n: whole steps, and of the step that doesn't fit a share by hash."""
     step = F.floor(F.log2("n") * 16).cast("int")
-    steps: dict[str, list[tuple[int, int]]] = {}
-    for name, s, n in counts.groupBy("lang", step.alias("s")).count().collect():
-        steps.setdefault(name, []).append((s, n))
-    least = {}
-    for name, found in steps.items():
-        held, at = 0, 1 << 30
+    sizes: dict[str, list[tuple[int, int]]] = {}
+    for name, s, n in level.groupBy("lang", step.alias("s")).count().collect():  # languages times 16 steps a doubling
+        sizes.setdefault(name, []).append((s, n))
+    full = {name: found for name, found in sizes.items() if sum(n for _, n in found) > most}
+    if not full:
+        return level
+    bounds = []
+    for name, found in full.items():
+        room = most
         for s, n in sorted(found, reverse=True):
-            if held and held + n > MODEL_NGRAMS:
+            if n > room:
+                bounds.append((name, s, int((1 << 20) * room / n)))
                 break
-            held, at = held + n, s
-        least[name] = at
-    by_lang: dict[str, dict[str, int]] = {}
-    if least:
-        floors = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))
-        for name, gram, n in counts.filter(step >= floors[F.col("lang")]).collect():
-            by_lang.setdefault(name, {})[gram] = n
-    models = {name: KneserNey.fit(found) for name, found in by_lang.items()}
-    limits = _calibrate(rows, models, lang_col, text_col, margin) if calibrate and models else None
-    return Identifier(models, limits)
-
-
-def _calibrate(rows: DataFrame, models: dict[str, KneserNey], lang_col: str, text_col: str, margin: float) -> dict[str, float]:
-    """The largest cross-entropy of all rightly predicted labelled texts of each language, plus a share of it."""
-    texts = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+            room -= n
+    limits = level.sparkSession.createDataFrame(bounds, "_lang string, _step int, _part long")
+    met = level.join(F.broadcast(limits), F.col("lang") == F.col("_lang"), "left")  # MOST_LANGUAGES rows at most
+    some = F.pmod(F.xxhash64("gram"), F.lit(1 << 20)) < F.col("_part")
+    return met.filter(F.col("_lang").isNull() | (step > F.col("_step")) | ((step == F.col("_step")) & some)).select(*level.columns)
+
+
+def learn(rows: DataFrame, lang_col: str, text_col: str, entries: int = ENTRIES) -> dict[str, KneserNey]:
+    """One model per language of rows whose language and text aren't null."""
+    spark = rows.sparkSession
+    levels = _levels(materialize(spark, ngram_counts(rows, lang_col, text_col), "ngrams"))
+    once, twice = (F.count(F.when(F.col("n") == k, 1)) for k in (1, 2))
+    shares: dict[str, list] = {}
+    for k, level in enumerate(levels, start=1):
+        found = level.groupBy("lang").agg(once.alias("once"), twice.alias("twice")).limit(MOST_LANGUAGES + 1).collect()
+        if len(found) > MOST_LANGUAGES:
+            raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}: clean the labels first")
+        if not found:
+            return {}
+        discounts = {name: a / (a + 2 * b) if a and b else 0.5 for name, a, b in found}
+        totals = level.groupBy("lang", F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("n").alias("total"))
+        kept = _most_frequent(level, max(1, entries // len(discounts))).withColumn("context", F.substring("gram", 1, k - 1))
+        stored = kept.join(totals, ["lang", "context"]).select("lang", "gram", "n", "total").toArrow()  # ENTRIES rows at most
+        names, lang = stored["gram"].to_pandas(), stored["lang"].to_pandas().to_numpy()
+        n, total = stored["n"].to_numpy().astype(np.float64), stored["total"].to_numpy().astype(np.float64)
+        for name, d in discounts.items():
+            own = np.flatnonzero(lang == name)
+            shares.setdefault(name, []).append((names.iloc[own].tolist(), (n[own] - d) / total[own]))
+    return {name: KneserNey.of(own) for name, own in shares.items()}
+
+
+def fit(df: DataFrame, labelled: Column, lang_col: str = "lang", text_col: str = "text", margin: float = 0.75, entries: int = ENTRIES) -> Identifier:
+    """Learn one model per language from the rows where `labelled` holds and language and text are not null."""
+    limit_arrow(df.sparkSession)
+    rows = df.filter(labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    apart = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
+    models = learn(rows.filter(~apart), "lang", "text", entries)
+    return Identifier(models, _calibrate(rows.filter(apart), models, margin) if models else None)
+
+
+def _calibrate(rows: DataFrame, models: dict[str, KneserNey], margin: float) -> dict[str, tuple[float, float]]:
+    """The mean of the bits per letter and the limit of the deviation from it, by language, from rows (lang, text)."""
     shared, key = rows.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = per_process(key, lambda: Identifier(shared.value))
         for batch in batches:
-            found = own.predict(batch["text"].tolist(), False)
-            hit = (found["lang"] == batch["lang"].to_numpy()).to_numpy()
-            yield pd.DataFrame({"lang": batch["lang"].to_numpy()[hit], "bits": found["bits"].to_numpy()[hit]})
+            found = own.predict(batch["text"].tolist())
+            found["lang"] = found["lang"].where(found["lang"].to_numpy() == batch["lang"].to_numpy())
+            yield found[["lang", "bits", "letters"]].dropna()
 
-    most = texts.mapInPandas(measure, "lang string, bits double").groupBy("lang").agg(F.max("bits")).collect()
-    return {name: bits * (1 + margin) for name, bits in most}
+    told = materialize(rows.sparkSession, rows.mapInPandas(measure, "lang string, bits double, letters bigint"), "calibration")
+    means = told.groupBy("lang").agg((F.sum(F.col("bits") * F.col("letters")) / F.sum("letters")).alias("mean"))  # a row a language
+    x = (F.col("bits") - F.col("mean")) * F.sqrt(F.least("letters", F.lit(SURE_LETTERS)))
+    found = told.join(F.broadcast(means), "lang").groupBy("lang", "mean").agg(F.percentile_approx(x, QUANTILE, 100_000).alias("limit")).collect()
+    return {name: (mean, max(limit, 0.0) * (1 + margin)) for name, mean, limit in found}
 
 
-def predict(spark, identifier: Identifier, text: Column, reject: bool = False) -> Column:
-    """A column struct<lang string, score double, bits double> for a text column."""
+def predict(spark, identifier: Identifier, text: Column) -> Column:
+    """A column struct<lang string, score double, bits double, letters long, rejected boolean> for a text column."""
     limit_arrow(spark)
     key = uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast((dict(zip(identifier.names, identifier.models)), dict(zip(identifier.names, identifier.limits.tolist()))))
+    shared = spark.sparkContext.broadcast((dict(zip(identifier.names, identifier.models)), dict(zip(identifier.names, map(tuple, identifier.limits.tolist())))))
 
-    @F.pandas_udf("lang string, score double, bits double")
+    @F.pandas_udf("lang string, score double, bits double, letters bigint, rejected boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = per_process(key, lambda: Identifier(*shared.value))
         for texts in batches:
-            yield own.predict(texts.tolist(), reject)
+            yield own.predict(texts.tolist())
 
     return run(text)

@@ -47,9 +47,9 @@ def op6_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = held_out("doc_id", 3, 1)
-    identifier = langid.fit(docs, ~held, calibrate=False)
+    identifier = langid.fit(docs, ~held)
     told = docs.select("doc_id", held.alias("held_out"), langid.predict(spark, identifier, F.col("text")).alias("p"))
-    return told.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+    return told.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.bits").alias("bits"), F.col("p.rejected").alias("rejected"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,32 +72,112 @@ def test_query_beats_the_base_on_held_out_texts(spark):
     assert rows[1] > rows[0]
 
 
-def test_kneser_ney_by_hand():
-    counts = Counter()
-    for w, n in (("abab", 3), ("abc", 2), ("ba", 1)):
-        padded = langid.EDGE * 3 + w + langid.EDGE
-        for i in range(len(padded) - 3):
-            counts[padded[i : i + 4]] += n
-    model = langid.KneserNey.fit(dict(counts))
-    levels = [counts]
+def brute_kneser_ney(texts):
+    """The cost in bits of a word's letters under the model of these texts, straight from the definition."""
+    top = Counter()
+    for t in texts:
+        for w in langid.words_of(t):
+            padded = langid.EDGE * 3 + w + langid.EDGE
+            for i in range(len(padded) - 3):
+                top[padded[i : i + 4]] += 1
+    levels = [top]
     for _ in range(3):
         levels.append(Counter(g[1:] for g in levels[-1]))
+    stats = []
+    for level in levels:
+        once, twice = sum(v == 1 for v in level.values()), sum(v == 2 for v in level.values())
+        total, kinds = Counter(), Counter()
+        for g, v in level.items():
+            total[g[:-1]] += v
+            kinds[g[:-1]] += 1
+        stats.append((level, once / (once + 2 * twice) if once and twice else 0.5, total, kinds))
 
     def p(gram):
-        level = levels[4 - len(gram)]
-        once, twice = sum(v == 1 for v in level.values()), sum(v == 2 for v in level.values())
-        d = once / (once + 2 * twice) if once and twice else 0.5
+        level, d, total, kinds = stats[4 - len(gram)]
         lower = p(gram[1:]) if len(gram) > 1 else 1 / 2000
-        after = {g: v for g, v in level.items() if g[:-1] == gram[:-1]}
-        total = sum(after.values())
-        return lower if not total else max(level[gram] - d, 0) / total * (gram in level) + d * len(after) / total * lower
+        n = total[gram[:-1]]
+        return lower if not n else max(level[gram] - d, 0) / n + d * kinds[gram[:-1]] / n * lower
+
+    return p
 
-    grams = [*counts, "abca", "zzzz", "cabx"]
+
+def brute_predict(models, text):
+    letters, bits = 0, dict.fromkeys(models, 0.0)
+    for w in langid.words_of(text or ""):
+        padded = langid.EDGE * 3 + w + langid.EDGE
+        for i in range(len(padded) - 3):
+            letters += 1
+            for name, p in models.items():
+                bits[name] -= math.log2(p(padded[i : i + 4]))
+    if not letters:
+        return "und", 0.0
+    per = {name: b / letters for name, b in bits.items()}
+    best = min(sorted(per), key=per.get)
+    gaps = [min((b - per[best]) * min(letters, langid.SURE_LETTERS), 1000) for b in per.values()]
+    return best, 1 / sum(2.0**-g for g in gaps)
+
+
+def by_language(df):
+    rows = df.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.pmod(F.xxhash64("text"), F.lit(langid.FOLDS)) != 0).select("lang", "text").collect()
+    out = {}
+    for name, t in rows:
+        out.setdefault(name, []).append(t)
+    return {name: brute_kneser_ney(texts) for name, texts in out.items()}
+
+
+def test_query_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    models = by_language(docs.filter(~held_out("doc_id", 3, 1)))
+    texts = dict(map(tuple, docs.select("doc_id", "text").collect()))
+    for r in op7_language_id(spark, sf).collect():
+        lang, score = brute_predict(models, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-9, r["doc_id"]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def many_letters(spark, n):
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 60)]
+    rows = [(i, " ".join("".join(rng.choices(letters, k=6)) for _ in range(60)), f"l{i % 2}") for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_more_than_100000_ngrams_of_a_language(spark):
+    df = many_letters(spark, 1_000)
+    models = langid.learn(df, "lang", "text")
+    assert all(len(m.grams[3].keys) > 100_000 for m in models.values())
+    want = brute_kneser_ney([r["text"] for r in df.filter("lang = 'l1'").collect()])
+    grams = [r[1][i : i + 4] for r in df.take(30) for i in range(0, 200, 7) if " " not in r[1][i : i + 4]] + ["zzzz"]
+    assert np.allclose(2.0 ** -models["l1"].costs(langid._codes(grams, 4)), [want(g) for g in grams], rtol=1e-9)
+
+
+def test_stored_entries_are_bounded_and_sum_to_one(spark):
+    df = many_letters(spark, 200)
+    whole, some = (langid.learn(df, "lang", "text", entries=n)["l0"] for n in (10**6, 4_000))
+    assert len(whole.grams[3].keys) > 10_000 and len(some.grams[3].keys) <= 2_100
+    letters = [*(chr(c) for c in range(0x4E00, 0x4E00 + 60)), langid.EDGE]
+    for model in (whole, some):
+        for context in ("\x02\x02\x02", "\u4e05\u4e06\u4e07", "\x02\x02\u4e10"):
+            p = 2.0 ** -model.costs(langid._codes([context + c for c in letters], 4))
+            assert 0.9 < p.sum() <= 1 + 1e-9
+
+
+def test_kneser_ney_by_hand(spark):
+    texts = ["abab abab", "abab abc", "abc ba"]
+    model = langid.learn(spark.createDataFrame([("x", t) for t in texts], "lang string, text string"), "lang", "text")["x"]
+    p = brute_kneser_ney(texts)
+    grams = ["abab", "abca", "zzzz", "cabx", "\x02\x02ab", "\x02\x02\x02b"]
     assert np.allclose(2.0 ** -model.costs(langid._codes(grams, 4)), [p(g) for g in grams])
     joint = langid.Identifier({"x": model})
     assert np.allclose(joint.costs(langid._codes(grams, 4))[:, 0], model.costs(langid._codes(grams, 4)))
 
 
+def test_too_many_languages(spark):
+    df = spark.createDataFrame([(f"l{i}", "some text") for i in range(langid.MOST_LANGUAGES + 1)], "lang string, text string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn(df, "lang", "text")
+
+
 @pytest.fixture(scope="module")
 def two_languages(spark):
     rng = random.Random(5)
@@ -110,25 +190,24 @@ def test_identification(spark, two_languages, odd_docs):
     ident = langid.fit(two_languages.withColumn("score", F.lit("clash")), F.col("doc_id") < 40)
     told = two_languages.filter("doc_id >= 40").select("lang", langid.predict(spark, ident, F.col("text")).alias("p")).collect()
     assert all(r["lang"] == r["p"]["lang"] and 0.5 < r["p"]["score"] <= 1 for r in told)
-    odd = odd_docs.select("text", langid.predict(spark, ident, F.col("text")).alias("p"), langid.predict(spark, ident, F.col("text"), reject=True).alias("q")).collect()
+    odd = odd_docs.select("text", langid.predict(spark, ident, F.col("text")).alias("p")).collect()
     for r in odd:
         letters = any(c.isalpha() for c in r["text"] or "")
         assert r["p"]["lang"] == "und" if not letters else r["p"]["lang"] in ("l1", "l2")
         assert 0 <= r["p"]["score"] <= 1
-    assert next(r for r in odd if r["text"] and r["text"].startswith("中"))["q"]["lang"] == "und"
+        assert r["p"]["rejected"] or letters
+    assert next(r for r in odd if r["text"] and r["text"].startswith("中"))["p"]["rejected"]
 
 
-def test_no_clean_labelled_text_is_rejected_in_a_large_table(spark):
+def test_short_clean_texts_stay_and_noise_goes(spark):
     rng = random.Random(6)
-    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(6))
-    rows = [(i, make("abcde") if i % 2 else make("uvwxy"), "l1" if i % 2 else "l2") for i in range(12_000)]
-    rows += [(20_000, "\u0436 \u0448 \u0449 \u044e \u044f", "l1"), (20_001, "\u03b3 \u03b4 \u03b8 \u03bb \u03be", "l2")]  # clean, but of rare letters
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    ident = langid.fit(df, F.lit(True))
-    told = df.select("doc_id", "lang", langid.predict(spark, ident, F.col("text"))["lang"].alias("plain"), langid.predict(spark, ident, F.col("text"), reject=True)["lang"].alias("told")).collect()
-    right = [r for r in told if r["lang"] == r["plain"]]
-    assert {20_000, 20_001} <= {r["doc_id"] for r in right}
-    assert [r["doc_id"] for r in right if r["told"] == "und"] == []
+    syllables = {"l1": ["ba", "de", "ca", "be", "da", "ace"], "l2": ["uv", "wy", "xu", "yv", "vuw"]}
+    make = lambda name, n: " ".join("".join(rng.choices(syllables[name], k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, make(f"l{i % 2 + 1}", rng.choice((1, 3, 40))), f"l{i % 2 + 1}") for i in range(6_000)]
+    noise = [(10_000 + i, "".join(rng.choices("kjqzxwmn\u0436\u0448", k=rng.choice((8, 60, 400)))), "l1") for i in range(6)]
+    df = spark.createDataFrame(rows + noise, "doc_id long, text string, lang string")
+    told = df.select("doc_id", langid.predict(spark, langid.fit(df, F.lit(True)), F.col("text"))["rejected"].alias("r")).collect()
+    assert {r[0] for r in told if r[1]} == {i for i, *_ in noise}
 
 
 def test_no_labels(spark, two_languages):
