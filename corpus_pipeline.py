@@ -17,12 +17,13 @@ from slatework.llm.common import fresh, materialize, table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go: null or letterless texts, and texts that no language's model explains.
 
-    The models learn from the labels of the documents at hand; a document's own label isn't compared with the prediction.
+    The models and their rejection limits are learnt from the labels of the documents at hand; a document's own label isn't
+    compared with the prediction.
     """
     identifier = langid.fit(docs, F.lit(True))
     told = fresh(docs, "told")
-    out = docs.withColumn(told, langid.predict(spark, identifier, F.col("text"), reject=True))
-    return out.filter(F.col(told)["lang"] != "und").select(*docs.columns)
+    out = docs.withColumn(told, langid.predict(spark, identifier, F.col("text")))
+    return out.filter(~F.col(told)["rejected"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
