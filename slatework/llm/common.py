@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
+from contextlib import contextmanager
+from typing import Iterator
 
 import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,16 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def limit_arrow(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches of this session, so that long texts don't add up in a worker."""
-    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Bound the Arrow batches of this session, so that long texts don't add up in a worker.
+
+    The settings are only ever lowered, and stay: the plans that operators return run after the operator has returned.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. Only a local master, where they are one process, may do without."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="slatework-"))
@@ -36,14 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_WRITTEN: list[DataFrame] = []
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet under the shared folder and read it back. The JVM removes it when it ends."""
+    """Cut lineage: write df as Parquet under the shared folder and read it back. discard(), the end of a scratch() block
+    or the end of the JVM removes it."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)
     out._slatework_path = path
+    _WRITTEN.append(out)
     return out
 
 
@@ -51,10 +64,26 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
     """Remove what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_slatework_path", None)
     if path:
+        _WRITTEN[:] = [x for x in _WRITTEN if x is not df]
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession, *keep: DataFrame) -> Iterator[list[DataFrame]]:
+    """At the end of the block everything that was materialized inside goes, but for what is in the list that it gives.
+
+    A returned plan still reads its intermediate tables, so write it inside the block:
+    `with scratch(spark): search(df, ...).write.parquet(path)`.
+    """
+    before, kept = {id(x) for x in _WRITTEN}, list(keep)
+    try:
+        yield kept
+    finally:
+        for x in [x for x in _WRITTEN if id(x) not in before and not any(x is k for k in kept)]:
+            discard(spark, x)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name in df.columns:

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_arrow, materialize, per_process
+from .common import discard, limit_arrow, materialize, per_process
 
 #: Letters of an n-gram; probabilities of one order that the models of all languages store together; languages at most;
 #: distinct words that a counting task holds.
@@ -307,6 +307,8 @@ def learn(rows: DataFrame, lang_col: str, text_col: str, entries: int = ENTRIES)
         for name, d in discounts.items():
             own = np.flatnonzero(lang == name)
             shares.setdefault(name, []).append((names.iloc[own].tolist(), (n[own] - d) / total[own]))
+    for level in levels:
+        discard(spark, level)
     return {name: KneserNey.of(own) for name, own in shares.items()}
 
 
@@ -335,6 +337,7 @@ def _calibrate(rows: DataFrame, models: dict[str, KneserNey], margin: float) ->
     means = told.groupBy("lang").agg((F.sum(F.col("bits") * F.col("letters")) / F.sum("letters")).alias("mean"))  # a row a language
     x = (F.col("bits") - F.col("mean")) * F.sqrt(F.least("letters", F.lit(SURE_LETTERS)))
     found = told.join(F.broadcast(means), "lang").groupBy("lang", "mean").agg(F.percentile_approx(x, QUANTILE, 100_000).alias("limit")).collect()
+    discard(rows.sparkSession, told)
     return {name: (mean, max(limit, 0.0) * (1 + margin)) for name, mean, limit in found}
 
 
