@@ -6,7 +6,7 @@ Decoding: the vocabulary strings of the ids, joined as the library joins them wh
 
 White space never joins symbols, so the unit of caching is a chunk between white space; its ids depend on nothing else.
 Null and empty texts have no ids and decode to the empty text. Texts of any length, repeated rows and extra columns need
-nothing special: every row is handled alone.
+nothing special: every row is handled alone. A file that asks for another normalizer, pre-tokenizer or decoder raises.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_arrow, per_process
+from .common import fresh, limit_arrow, per_process
 
 #: Unicode White_Space, which differs from str.isspace() in U+001C-U+001F.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -64,14 +64,40 @@ class ChunkCache(dict):
         return value
 
 
+#: What the file has to say (fixed values): NFC, white space to one space, lower case; words as below; bytes as letters; no decoder.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def check_spec(d: dict) -> None:
+    """Raise on a tokenizer that works otherwise than this module does."""
+    model = d["model"]
+    for name, found, wanted in (
+        ("normalizer", d.get("normalizer"), NORMALIZER), ("pre_tokenizer", d.get("pre_tokenizer"), PRE_TOKENIZER), ("decoder", d.get("decoder"), None),
+        ("model", model.get("type", "BPE"), "BPE"), *((k, model.get(k) or None, None) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+        *((k, any(t.get(k) for t in d["added_tokens"]), False) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    ):
+        if found != wanted:
+            raise ValueError(f"only tokenizers with {name} {wanted!r} are supported, not {found!r}")
+
+
 class WordBpe:
     def __init__(self, spec: str):
         d = json.loads(spec)
+        check_spec(d)
         model = d["model"]
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.special_re = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
+        self.special_starts = {t[0] for t in self.special}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -135,7 +161,7 @@ class WordBpe:
         if not text:
             return b""
         out, at = [], 0
-        if self.special_re is not None and "<" in text:
+        if self.special_re is not None and any(c in text for c in self.special_starts):
             for m in self.special_re.finditer(text):
                 out += [self.encode_plain(text[at : m.start()]), struct.pack("<I", self.special[m[0]])]
                 at = m.end()
@@ -159,7 +185,9 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ke
     """keep + ids (binary, packed unsigned 32-bit little-endian) + decoded (text) of every row of df."""
     spark = df.sparkSession
     limit_arrow(spark)
-    spec = spark.sparkContext.broadcast(read_spec(tokenizer_path))
+    text = read_spec(tokenizer_path)
+    check_spec(json.loads(text))
+    spec = spark.sparkContext.broadcast(text)
 
     @F.pandas_udf("ids binary, decoded string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -168,4 +196,5 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ke
             ids = [model.encode(t) for t in texts]
             yield pd.DataFrame({"ids": ids, "decoded": [model.decode(i) for i in ids]})
 
-    return df.select(*keep, run(F.col(text_col)).alias("r")).select(*keep, "r.ids", "r.decoded")
+    made = fresh(df, "made")
+    return df.select(*keep, run(F.col(text_col)).alias(made)).select(*keep, F.col(made)["ids"].alias("ids"), F.col(made)["decoded"].alias("decoded"))

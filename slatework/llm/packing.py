@@ -6,12 +6,13 @@ search runs on the histogram of lengths (at most `capacity` entries), and a comb
 allow in one step. Each such step uses up at least one length or leaves less of it than one bin takes, which bounds the
 number of steps by a few times the number of lengths, whatever the number of rows.
 
-The plan is ranges of ranks within a length. A piece's rank among its equals is its row number in a hash bucket of the
-length plus the sizes of the buckets before it. A length has as many buckets as it has BUCKET_ROWS pieces, so a frequent
-length is spread over many tasks, and the table of sizes stays a small share of the pieces.
+The plan is ranges of ranks within a length. Rows are numbered when they are written first; a piece's rank among its equals
+is its place in a hash bucket of these numbers plus the sizes of the buckets before it. A length has as many buckets as it
+has BUCKET_ROWS pieces, so a frequent length, and any number of equal rows, is spread over many tasks.
 
-Lengths must be between 1 and `capacity`; others raise. An empty table gives an empty table. Equal rows are
-interchangeable and each gets a place of its own.
+Lengths must be between 1 and `capacity`; others, and a capacity above MOST_CAPACITY, raise. An empty table gives an empty
+table. Pieces of one length are interchangeable, equal rows too: each gets a place of its own, in the order in which they
+are read. Extra columns are kept, whatever their names, but for those of the result.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import limit_arrow, materialize
+from .common import fresh, limit_arrow, materialize
 
-#: Rows of one rank bucket on average.
-BUCKET_ROWS = 500
+#: Rows of one rank bucket on average; the largest capacity: the histogram has a row for each length and is broadcast.
+BUCKET_ROWS, MOST_CAPACITY = 4_096, 1 << 16
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
@@ -59,7 +60,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     """Rows (length, rank_from, rank_to, per_bin, first sequence, offset): ranks [from, to) of a length go, per_bin to a
     sequence, to consecutive sequences, at offset and then side by side."""
     counts = {n: c for n, c in histogram.items() if c > 0}
-    if counts and not 1 <= min(counts) <= max(counts) <= capacity:
+    if None in counts or (counts and not 1 <= min(counts) <= max(counts) <= capacity):
         raise ValueError("lengths must lie between 1 and the capacity")
     lengths = sorted(counts, reverse=True)
     used = dict.fromkeys(lengths, 0)
@@ -84,23 +85,29 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(df: DataFrame, capacity: int, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """df + sequence_id long, offset long, which replace columns of these names. df is read several times: write it first."""
+def pack(df: DataFrame, capacity: int, length_col: str = "length") -> DataFrame:
+    """df + sequence_id long, offset long, which replace columns of these names."""
+    if capacity > MOST_CAPACITY:
+        raise ValueError(f"the capacity is {MOST_CAPACITY} at most")
     spark = df.sparkSession
     limit_arrow(spark)
-    length = F.col(length_col).cast("int")
-    histogram = {r[0]: r[1] for r in df.groupBy(length.alias("n")).count().collect()}
-    spread = spark.createDataFrame([(n, -(-c // BUCKET_ROWS)) for n, c in histogram.items()], "_length int, _buckets long")
-    keyed = df.withColumn("_length", length).join(F.broadcast(spread), "_length")  # a row for each length, capacity at most
-    keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.col("_buckets"))).drop("_buckets")
-    sizes = keyed.groupBy("_length", "_bucket").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy("_length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = materialize(spark, sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))), "bucket-sizes")
-    placed = np.array(sorted(plan(histogram, capacity)), dtype=np.int64).reshape(-1, 6)
+    kept = [c for c in df.columns if c not in ("sequence_id", "offset")]
+    number, size, bucket, before, row, place = (fresh(df, n) for n in ("number", "size", "bucket", "before", "row", "place"))
+    rows = df.select(*kept, F.col(length_col).cast("int").alias(size)).withColumn(number, F.monotonically_increasing_id())
+    rows = materialize(spark, rows, "pieces")
+    histogram = {r[0]: r[1] for r in rows.groupBy(size).count().limit(capacity + 2).collect()}
+    placed = np.array(sorted(plan(histogram, capacity)), dtype=np.int64).reshape(-1, 6)  # raises on wrong lengths
     shared = spark.sparkContext.broadcast(placed)
+    spread = spark.createDataFrame([(n, -(-c // BUCKET_ROWS)) for n, c in histogram.items()], f"{size} int, {before} long")
+    keyed = rows.join(F.broadcast(spread), size)  # a row for each length, capacity at most
+    keyed = keyed.withColumn(bucket, F.pmod(F.xxhash64(number), F.col(before))).drop(before)
+    sizes = keyed.groupBy(size, bucket).agg(F.count("*").alias(row))
+    earlier = Window.partitionBy(size).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(size, bucket, F.coalesce(F.sum(row).over(earlier), F.lit(0)).alias(before))
+    sizes = materialize(spark, sizes, "bucket-sizes")
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
-    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def put(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         rows = shared.value
         shift = int(rows[:, 2].max(initial=0)) + 1
         starts = rows[:, 0] * shift + rows[:, 1]
@@ -110,9 +117,7 @@ def pack(df: DataFrame, capacity: int, length_col: str = "length", order: tuple[
             k = rank - r[:, 1]
             yield pd.DataFrame({"sequence_id": r[:, 4] + k // r[:, 3], "offset": r[:, 5] + n * (k % r[:, 3])})
 
-    within = Window.partitionBy("_length", "_bucket").orderBy(*order)
-    ranked = keyed.withColumn("_row", F.row_number().over(within))
-    ranked = ranked.join(sizes.select("_length", "_bucket", "_before"), ["_length", "_bucket"])
-    ranked = ranked.withColumn("_placed", place(F.col("_length").cast("long"), F.col("_before") + F.col("_row") - 1))
-    kept = [c for c in df.columns if c not in ("sequence_id", "offset")]
-    return ranked.select(*kept, "_placed.sequence_id", "_placed.offset")
+    within = Window.partitionBy(size, bucket).orderBy(number)
+    ranked = keyed.withColumn(row, F.row_number().over(within)).join(sizes, [size, bucket])
+    ranked = ranked.withColumn(place, put(F.col(size).cast("long"), F.col(before) + F.col(row) - 1))
+    return ranked.select(*kept, F.col(place)["sequence_id"].alias("sequence_id"), F.col(place)["offset"].alias("offset"))

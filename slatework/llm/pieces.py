@@ -1,10 +1,12 @@
 """Token pieces of documents for packing: tokenize whole texts, add an end id, cut what is longer than a sequence.
 
-Null and empty texts give the end id alone.
+Null and empty texts give the end id alone. Repeated rows give their pieces each; kept columns can have any name but those of
+the result.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from typing import Iterator
@@ -13,15 +15,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import read_spec, shared_model
-from .common import limit_arrow
+from .bpe import check_spec, read_spec, shared_model
+from .common import fresh, limit_arrow
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """keep + piece int, start long, length long, ids_crc32 long (+ ids binary): one row per piece of at most `capacity` ids."""
     spark = df.sparkSession
     limit_arrow(spark)
-    spec = spark.sparkContext.broadcast(read_spec(tokenizer_path))
+    text = read_spec(tokenizer_path)
+    check_spec(json.loads(text))
+    spec = spark.sparkContext.broadcast(text)
     end = struct.pack("<I", end_id)
     step = 4 * capacity
 
@@ -38,4 +42,5 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
                 out.append([{"piece": k, "start": k * capacity, "length": len(c) // 4, "ids_crc32": zlib.crc32(c)} | ({"ids": c} if with_ids else {}) for k, c in enumerate(cut)])
             yield pd.Series(out)
 
-    return df.select(*keep, F.explode(run(F.col(text_col))).alias("p")).select(*keep, "p.*")
+    made = fresh(df, "made")
+    return df.select(*keep, F.explode(run(F.col(text_col))).alias(made)).select(*keep, f"{made}.*")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, jaccard, langid, lm, packing, pieces, secrets, token_counts, topk
-from .common import held_out, materialize, table
+from .common import held_out, table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -32,8 +32,7 @@ def op4_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = pieces.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), capacity=4096, end_id=1)
-    cut = materialize(spark, cut, "pieces")
-    out = packing.pack(cut, 4096, order=("doc_id", "piece", "ids_crc32"))
+    out = packing.pack(cut, 4096)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -6,13 +6,19 @@ In each round every sequence applies its lowest-rank pair: the leftmost place of
 as long as no merge before them opens a pair that would come first. The symbols that survive are the tokens; a symbol the
 vocabulary lacks counts its UTF-8 bytes (byte fallback).
 
+Long pre-tokens (texts without spaces) are cut first where no piece of the vocabulary that occurs in them reaches across,
+since no merge can. A stretch that is still long after MANY_ROUNDS rounds is finished by a heap of its pairs, so that the
+work stays about linear in the text.
+
 Null and empty texts have 0 tokens and 0 bytes. Every row is handled alone; extra columns need no care.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
+from collections import Counter
 from typing import Iterator
 
 import numpy as np
@@ -24,6 +30,9 @@ from .common import limit_arrow, per_process
 
 MARK = "▁"
 NO_RANK = np.int64(1) << 40
+#: Letters from which a pre-token is cut up and not cached; rounds after which a sequence of LONG_RUN symbols goes to a heap.
+LONG_WORD, LONG_RUN, MANY_ROUNDS = 100, 512, 48
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class PieceCounter:
@@ -62,6 +71,63 @@ class PieceCounter:
         self.made = np.array(made, dtype=np.int64)[order]
         self.cache: dict[str, int] = {}
         self.size = cache_size
+        self.pairs: dict[int, tuple[int, int]] | None = None
+        # by length: the sorted hashes of all beginnings of pieces, and whether each is a piece itself
+        hashes: dict[int, dict[int, bool]] = {}
+        for p in scores:
+            h = 0
+            for k, c in enumerate(p, start=1):
+                h = (h * int(_BASE) + ord(c)) & 0xFFFFFFFFFFFFFFFF
+                begun = hashes.setdefault(k, {})
+                begun[h] = begun.get(h, False) or k == len(p)
+        self.begun = []
+        for k in sorted(hashes):
+            keys = np.array(sorted(hashes[k]), dtype=np.uint64)
+            self.begun.append((keys, np.array([hashes[k][h] for h in keys.tolist()], dtype=bool)))
+
+    def parts(self, word: str) -> list[str]:
+        """A pre-token cut where no occurrence of a piece reaches across."""
+        codes = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        n = len(codes)
+        reach = np.zeros(n + 1, dtype=np.int64)
+        at, h = np.arange(n), np.zeros(n, dtype=np.uint64)
+        for k, (keys, whole) in enumerate(self.begun, start=1):
+            some = at + k <= n
+            at, h = at[some], h[some] * _BASE + codes[at[some] + k - 1]
+            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[place] == h
+            at, h, place = at[hit], h[hit], place[hit]
+            if k > 1:  # a piece at a covers the borders after a, ..., a + k - 2
+                own = at[whole[place]]
+                np.add.at(reach, own, 1)
+                np.add.at(reach, own + k - 1, -1)
+            if not len(at):
+                break
+        cuts = (np.flatnonzero(np.cumsum(reach[: n - 1]) == 0) + 1).tolist()
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, n])]
+
+    def finish(self, sym: list[int]) -> int:
+        """Tokens of a sequence of symbols, by a heap of its pairs."""
+        if self.pairs is None:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+        get, width, n = self.pairs.get, self.width, len(sym)
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(hit[0], i) for i in range(n - 1) if (hit := get(sym[i] * width + sym[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = right[i]
+            if sym[i] < 0 or j < 0 or (hit := get(sym[i] * width + sym[j])) is None or hit[0] != rank:
+                continue
+            sym[i], sym[j] = hit[1], -1
+            k = right[i] = right[j]
+            if k >= 0:
+                left[k] = i
+                if after := get(sym[i] * width + sym[k]):
+                    heapq.heappush(heap, (after[0], i))
+            if (b := left[i]) >= 0 and (before := get(sym[b] * width + sym[i])):
+                heapq.heappush(heap, (before[0], b))
+        return int(self.cost[[x for x in sym if x >= 0]].sum())
 
     def look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of each pair; NO_RANK where the model has none."""
@@ -72,6 +138,18 @@ class PieceCounter:
 
     def count(self, words: list[str]) -> np.ndarray:
         """Tokens of each pre-token (spaces already written as the mark)."""
+        if all(len(w) <= LONG_WORD for w in words):
+            return self.merge(words)
+        own: list[tuple[int, str]] = []
+        for i, w in enumerate(words):
+            own += [(i, p) for p in (self.parts(w) if len(w) > LONG_WORD else [w])]
+        place = {p: i for i, p in enumerate(dict.fromkeys(p for _, p in own))}
+        counts = self.merge(list(place))
+        total = np.zeros(len(words), dtype=np.int64)
+        np.add.at(total, [i for i, _ in own], counts[[place[p] for _, p in own]])
+        return total
+
+    def merge(self, words: list[str]) -> np.ndarray:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         total = np.zeros(len(words), dtype=np.int64)
         text = "".join(words)
@@ -86,7 +164,17 @@ class PieceCounter:
         if len(sym) > 1:
             inner = np.flatnonzero(seq[:-1] == seq[1:])
             rank[inner], made[inner] = self.look(sym[inner], sym[inner + 1])
+        rounds = 0
         while len(sym):
+            rounds += 1
+            if rounds % MANY_ROUNDS == 0:
+                held = np.bincount(seq, minlength=len(words))
+                for i in np.flatnonzero(held > LONG_RUN).tolist():
+                    total[i] += self.finish(sym[seq == i].tolist())
+                keep = held[seq] <= LONG_RUN
+                sym, seq, rank, made = sym[keep], seq[keep], rank[keep], made[keep]
+                if not len(sym):
+                    break
             starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
             least = np.minimum.reduceat(rank, starts)
             lengths = np.diff(np.r_[starts, len(seq)])
@@ -163,7 +251,11 @@ class PieceCounter:
             if "  " in text or MARK in text or text[0] == " ":
                 odd.append((i, text))
                 continue
-            plain.append((i, self.pre_tokens(text)))
+            keys = self.pre_tokens(text)
+            if max(map(len, keys)) > LONG_WORD:
+                odd.append((i, text))
+                continue
+            plain.append((i, keys))
             letters += len(text)
             if letters > 2_000_000:
                 settle()
@@ -171,8 +263,8 @@ class PieceCounter:
         settle()
         for i, text in odd:
             words = re.findall(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+", MARK + text.replace(" ", MARK))
-            words, times = np.unique(np.array(words, dtype=object), return_counts=True)
-            out[i] = int((self.count(list(words)) * times).sum()) + text.count("\n")
+            times = Counter(words)
+            out[i] = int(self.count(list(times)) @ np.fromiter(times.values(), np.int64, len(times))) + text.count("\n")
         return out
 
 

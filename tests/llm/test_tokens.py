@@ -74,6 +74,49 @@ def test_counts_of_long_runs(spm):
     assert counter.texts(texts) == [len(x) for x in spm.encode(texts)]
 
 
+def test_counts_of_megabytes_without_spaces(spm):
+    import base64
+    import random
+    import time
+
+    rng = random.Random(4)
+    syllables = ["the", "quick", "brown", "fox", "tion", "er", "ing", "zu", "qu", "ström", "x", "aa", "ba"]
+    texts = [
+        base64.b64encode(rng.randbytes(3_750_000)).decode(), "".join(rng.choices(syllables, k=1_500_000)), "a" * 5_000_000,
+        "".join(rng.choices("\u4e2d\u6587\u5b57\u7b26的是一不了在", k=300_000)), "ab" * 200_000 + " tail", "=-" * 500_000,
+    ]
+    counter = token_counts.PieceCounter(open(PIECE, "rb").read())
+    for text in texts:
+        t = time.perf_counter()
+        assert counter.texts([text]) == [sum(len(spm.encode(text)) for _ in range(1))], text[:20]
+        print(text[:10], len(text), time.perf_counter() - t)
+
+
+def test_heap_finishes_what_rounds_leave(spm, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    monkeypatch.setattr(token_counts, "MANY_ROUNDS", 2)
+    monkeypatch.setattr(token_counts, "LONG_RUN", 3)
+    counter = token_counts.PieceCounter(open(PIECE, "rb").read())
+    texts = ["".join(rng.choices(["tion", "th", "e", "ing", "a", "ß", "中", "aa"], k=rng.randint(1, 400))) for _ in range(60)]
+    assert counter.texts(texts) == [len(x) for x in spm.encode(texts)]
+
+
+def test_kept_columns_can_have_any_name(spark, library):
+    df = spark.createDataFrame([("some text", 1, 2, 3)], "text string, r int, p int, made int")
+    row = bpe.encode_decode(df, WORD, keep=("r", "p", "made")).first()
+    assert tuple(row)[:3] == (1, 2, 3) and row["decoded"] == "some</w> text</w>"
+    assert tuple(pieces.token_pieces(df, WORD, keep=("r", "p", "made")).first())[:5] == (1, 2, 3, 0, 0)
+    assert tuple(token_counts.count_tokens(df, PIECE, keep=("r", "p", "made")).first())[:4] == (1, 2, 3, 9)
+
+
+def test_other_tokenizers_are_refused(odd_docs):
+    for f in (bpe.encode_decode, pieces.token_pieces):
+        with pytest.raises(ValueError, match="supported"):
+            f(odd_docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_counts_query(spark, sf, spm):
     texts = dict(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()))
     for r in op9_token_counts(spark, sf).collect():
