@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatework.llm import jaccard, langid, packing, pieces, secrets
-from slatework.llm.common import fresh, materialize, table
+from slatework.llm.common import discard, fresh, materialize, scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, tokenized and packed into sequences of 4096: one row per piece."""
     cut = pieces.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
-    cut = materialize(spark, cut, "pieces")
-    out = packing.pack(cut, 4096, order=("doc_id", "piece", "ids_crc32"))
+    out = packing.pack(cut, 4096)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -73,5 +72,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(spark, stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:  # what a stage wrote on its way goes once its result is written
+            kept = materialize(spark, stage(spark, docs, sf_dir), name)
+            keep.append(kept)
+        discard(spark, docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
