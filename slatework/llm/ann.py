@@ -6,13 +6,15 @@ list the distance grows block by block; after each block a hypothesis test aband
 scaled to all dimensions, exceeds the query's k-th best distance by more than chance allows (epsilon). Survivors get the
 exact product in double precision.
 
-Centroids come from k-means on a sample of at most SAMPLE vectors, and the number of probed lists is the smallest that finds
-`recall` of the sample's own neighbours. Every vector is indexed. Long lists are split into chunks of bounded size, so a list
-that holds a large part of all vectors is many chunks. A query meets all chunks of its lists.
+Centroids come from k-means on a sample of PER_LIST vectors a list. Lists grow with the root of the table up to LISTS, so the
+sample is bounded by LISTS * PER_LIST vectors. The number of probed lists is the smallest that finds `recall` of the sample's
+own neighbours; a query probes more where these hold too few candidates, by the true sizes of all lists. Every vector is
+indexed. Lists are written in chunks of bounded size, dealt by row, so one that holds a large part of all vectors is many
+chunks of many tasks; a block of queries is sent to a list once and meets its chunks inside the join.
 
 Vectors that are null or zero or have null or non-finite components take no part; shorter vectors count as filled up with
-zeros. Ties go to the smaller id; a candidate with the query's own id is passed over. Where a query's probed lists hold
-fewer than k candidates though the table has more, all lists are probed (the sample's lists decide, before the search).
+zeros, and vectors of more than MOST_WIDTH components raise. Ties go to the smaller id; a candidate with the query's own id
+is passed over. Every row of a query id is a query and has its own ranks.
 """
 
 from __future__ import annotations
@@ -26,16 +28,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import limit_arrow, materialize
-from .vectors import best, matrix, pack_rows, ranked, unpack, usable
+from .vectors import best, check_width, matrix, numbered, pack_rows, ranked, unpack
 
-#: Vectors that the centroids are fitted on, at most (in expectation); candidates of a chunk; queries of a block.
-SAMPLE, CHUNK, QUERIES = 16_384, 4_096, 512
+#: Lists at most (their number is half the root of the table's rows); sample vectors a list; candidates of a chunk; query
+#: rows that are sent together.
+LISTS, PER_LIST, CHUNK, QUERIES = 16_384, 16, 4_096, 4_096
 #: Columns of a block; the test's epsilon; the share of living pairs below which they are followed one by one.
 COLUMNS, EPSILON, SPARSE = 16, 2.1, 0.15
 
 
 def lists_for(total: int) -> int:
-    return int(np.clip(math.sqrt(total) / 2, 1, 1_024))
+    return int(np.clip(math.sqrt(total) / 2, 1, LISTS))
+
+
+def sample_of(rows: DataFrame, total: int, width: int) -> np.ndarray:
+    """At most PER_LIST vectors a list, of rows (number, v); at least 4,096, so that small tables are taken whole."""
+    most = PER_LIST * lists_for(total)
+    most = max(most, 4_096) if lists_for(total) < LISTS else most
+    share = F.pmod(F.xxhash64("number"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.05 * most / max(1, total)))
+    return matrix([r[0] for r in rows.filter(share).limit(most).select("v").collect()], width, np.float64)
 
 
 def rotation(width: int, seed: int = 11) -> np.ndarray:
@@ -53,11 +64,17 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * x @ y.T, 0)
 
 
+def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The place of the nearest center, in steps that keep the table of distances small."""
+    step = max(1, (1 << 22) // len(centers))
+    return np.concatenate([np.zeros(0, np.int64), *(distances(x[i : i + step], centers).argmin(axis=1) for i in range(0, len(x), step))])
+
+
 def k_means(x: np.ndarray, n: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centers = x[rng.permutation(len(x))[:n]].copy()
     for _ in range(rounds):
-        own = distances(x, centers).argmin(axis=1)
+        own = nearest(x, centers)
         sums = np.zeros_like(centers)
         np.add.at(sums, own, x)
         counts = np.bincount(own, minlength=len(centers))
@@ -74,17 +91,18 @@ def probes_for(sample: np.ndarray, as_queries: np.ndarray, centers: np.ndarray,
     near = distances(as_queries[pick], sample)
     near[np.arange(len(pick)), pick] = np.inf
     top = np.argsort(near, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
-    own = distances(sample, centers).argmin(axis=1)
+    own = nearest(sample, centers)
     order = np.argsort(distances(as_queries[pick], centers), axis=1, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.broadcast_to(np.arange(len(centers)), order.shape).copy(), axis=1)
     ranks = np.sort(np.take_along_axis(place, own[top], axis=1).ravel())
-    needed = int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)]) + 1
-    # and enough candidates for k in every query's lists
-    per_list = np.bincount(own, minlength=len(centers))
-    filled = np.cumsum(per_list[order], axis=1)
-    short = filled[:, needed - 1] <= 2 * k
-    return len(centers) if short.any() else needed
+    return int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)]) + 1
+
+
+def enough(order: np.ndarray, sizes: np.ndarray, n_probes: int, wanted: int) -> np.ndarray:
+    """How many of each query's lists, in order, to probe: n_probes, or more where these hold fewer than wanted rows."""
+    filled = np.cumsum(sizes[order], axis=1)
+    return np.minimum(np.maximum((filled < wanted).sum(axis=1) + 1, n_probes), order.shape[1])
 
 
 class Thresholds(dict):
@@ -96,17 +114,23 @@ class Thresholds(dict):
         self[query] = value
 
 
-def scan_chunk(queries: np.ndarray, rows: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query place, row place) of the survivors, and the new k-th best distances. Inputs are rotated, float32."""
+def scan_chunk(queries: np.ndarray, rows: np.ndarray, bounds: np.ndarray, k: int, own: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, row place) of the survivors, and the new k-th best distances. Inputs are rotated, float32.
+
+    own: places of pairs that don't count, a query and a row of its own id.
+    """
     n, width = rows.shape
     starts = list(range(0, max(1, width - COLUMNS // 2), COLUMNS))
     ends = [*starts[1:], width]
     slack = 1e-4 * max(float((rows * rows).sum(axis=1).max(initial=0)), float((queries * queries).sum(axis=1).max(initial=0)), 1e-30)
     if n > k:  # a first bound from whole distances of a few
         head = distances(queries, rows[: max(4 * k, 64)])
-        if head.shape[1] > k:
-            bounds = np.minimum(bounds, np.partition(head, k, axis=1)[:, k])
+        early = own[1] < head.shape[1]
+        head[own[0][early], own[1][early]] = np.inf
+        if head.shape[1] >= k:
+            bounds = np.minimum(bounds, np.partition(head, k - 1, axis=1)[:, k - 1])
     partial = np.zeros((len(queries), n), np.float32)
+    partial[own] = np.inf
     alive = np.ones(partial.shape, bool)
     at = col = value = None
     for a, b in zip(starts, ends):
@@ -115,7 +139,7 @@ def scan_chunk(queries: np.ndarray, rows: np.ndarray, bounds: np.ndarray, k: int
         if value is None:
             q, p = queries[:, a:b], rows[:, a:b]
             partial += np.maximum((q * q).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None] - 2 * (q @ p.T), 0)
-            alive = partial <= limit[:, None]
+            alive = (partial <= limit[:, None]) & (partial < np.inf)
             if alive.mean() < SPARSE or seen == width:
                 at, col = np.nonzero(alive)
                 value = partial[at, col]
@@ -130,8 +154,8 @@ def scan_chunk(queries: np.ndarray, rows: np.ndarray, bounds: np.ndarray, k: int
     counts = np.bincount(at, minlength=len(queries))
     first = np.cumsum(counts) - counts
     new = bounds.copy()
-    full = counts > k  # one of them may be the query itself
-    new[full] = np.minimum(new[full], value[first[full] + k])
+    full = counts >= k
+    new[full] = np.minimum(new[full], value[first[full] + k - 1])
     keep = value <= new[at] + slack
     return at[keep], col[keep], new
 
@@ -140,13 +164,14 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = 0.96, i
     """query_id long, rank int, vec_id long, score double: the k nearest found for every query row among the other rows."""
     spark = df.sparkSession
     limit_arrow(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), is_query.alias("_query"), F.col(vector_col).alias("v"))
-    rows = rows.filter(usable(F.col("v")) & F.col("id").isNotNull() & F.exists("v", lambda x: x != 0))
+    rows = numbered(df, is_query, id_col, vector_col).filter(F.exists("v", lambda x: x != 0))
+    rows = materialize(spark, rows, "usable")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     total, width, greatest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1)), F.coalesce(F.max(F.sqrt(square)), F.lit(0.0))).first()
+    width = check_width(width)
+    own_rows = rows.filter("asks").select("id").distinct().join(rows.select("id"), "id").groupBy("id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     dtype = "f8" if "double" in dict(rows.dtypes)["v"] else "f4"
-    some = rows if total <= SAMPLE else rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * SAMPLE / total))
-    sample = matrix([r[0] for r in some.select("v").collect()], width, np.float64)
+    sample = sample_of(rows, total, width)
     turn = rotation(width + 1)
     lifted = lift(sample, greatest) @ turn
     centers = k_means(lifted, min(len(sample), lists_for(total))) if len(sample) else np.zeros((1, width + 1))
@@ -158,32 +183,51 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = 0.96, i
         for batch in batches:
             if len(batch):
                 x = lift(matrix(batch["v"], width, np.float64), greatest) @ turn
-                yield pd.DataFrame({"list": distances(x, centers).argmin(axis=1).astype(np.int32), "_query": batch["_query"], "id": batch["id"], "v": batch["v"]})
+                yield batch.assign(list=nearest(x, centers).astype(np.int32))
 
     kind = "double" if dtype == "f8" else "float"
-    index = materialize(spark, rows.mapInPandas(assign, f"list int, _query boolean, id bigint, v array<{kind}>"), "index")
-    sizes = {r[0]: r[1] for r in index.groupBy("list").count().collect()}
-    chunks = F.create_map(*(F.lit(x) for n, size in (sizes or {0: 0}).items() for x in (n, -(-size // CHUNK))))
-    n_chunks = chunks[F.col("list")]
-    own = index.withColumn("chunk", F.pmod(F.xxhash64("id"), n_chunks.cast("long")).cast("int"))
-    total_chunks = max(1, sum(-(-size // CHUNK) for size in sizes.values()))
-    parts = max(1, min(total_chunks, 4 * spark.sparkContext.defaultParallelism) if total_chunks < 1000 else total_chunks // 4)
-    blocks = own.select("list", "chunk", "id", "v").repartition(parts, "list", "chunk").sortWithinPartitions("list", "chunk")
-    blocks = pack_rows(blocks, ("list", "chunk"), width, 4 * CHUNK, dtype)
+    index = rows.mapInPandas(assign, f"id bigint, number bigint, asks boolean, v array<{kind}>, list int")
+    index = materialize(spark, index, "index")
+    sizes = np.zeros(len(centers), np.int64)
+    for n, size in index.groupBy("list").count().collect():  # a row a list
+        sizes[n] = size
+    chunked = spark.createDataFrame([(n, -(-size // CHUNK)) for n, size in enumerate(sizes.tolist())], "list int, n_chunks int")
+    chunk = F.pmod(F.xxhash64("number"), F.col("n_chunks").cast("long")).cast("int").alias("chunk")
+    parts = max(1, min(int((-(-sizes // CHUNK)).sum()), max(4 * spark.sparkContext.defaultParallelism, total // (4 * CHUNK))))
+    blocks = index.join(F.broadcast(chunked), "list").select("list", chunk, "id", "v")  # LISTS rows at most
+    blocks = pack_rows(blocks.repartition(parts, "list", "chunk").sortWithinPartitions("list", "chunk"), ("list", "chunk"), width, 4 * CHUNK, dtype)
+    blocks = materialize(spark, blocks, "lists")  # written, so that beside it the chunks of a long list can be split
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn, centers = shared.value
+        held: list[pd.DataFrame] = []
+
+        def sent() -> Iterator[pd.DataFrame]:
+            """Every list that some of the held queries probe, with these queries."""
+            numbers = np.concatenate([b[["number", "id"]].to_numpy(np.int64) for b in held])
+            data = np.concatenate([matrix(b["v"], width, np.dtype(dtype)) for b in held])
+            order = np.concatenate([b["order"].to_numpy() for b in held])
+            who = np.repeat(np.arange(len(order)), [len(o) for o in order])
+            which = np.concatenate(order)
+            by = np.argsort(which, kind="stable")
+            cuts = np.flatnonzero(np.diff(which[by])) + 1
+            for own in np.split(who[by], cuts):
+                yield pd.DataFrame([(int(which[by[0]]), numbers[own].tobytes(), data[own].tobytes())], columns=["list", "qids", "qdata"])
+                by = by[len(own) :]
+
         for batch in batches:
             if len(batch):
                 x = lift(matrix(batch["v"], width, np.float64), None) @ turn
-                near = np.argsort(distances(x, centers), axis=1, kind="stable")[:, :n_probes].astype(np.int32)
-                yield pd.DataFrame({"lists": list(near), "id": batch["id"], "v": batch["v"]})
+                order = np.argsort(distances(x, centers), axis=1, kind="stable").astype(np.int32)
+                held.append(batch.assign(order=[o[:n] for o, n in zip(order, enough(order, sizes, n_probes, k + own_rows))]))
+                if sum(map(len, held)) >= QUERIES:
+                    yield from sent()
+                    held = []
+        if held:
+            yield from sent()
 
-    probes = index.filter("_query").select("id", "v").mapInPandas(probe, f"lists array<int>, id bigint, v array<{kind}>")
-    probes = probes.select(F.explode("lists").alias("list"), "id", "v").filter(n_chunks.isNotNull())
-    probes = probes.select("list", F.explode(F.sequence(F.lit(0), n_chunks.cast("int") - 1)).alias("chunk"), "id", "v")
-    probes = probes.repartition(parts, "list", "chunk").sortWithinPartitions("list", "chunk")
-    asked = pack_rows(probes, ("list", "chunk"), width, QUERIES, dtype).withColumnsRenamed({"ids": "qids", "data": "qdata"})
+    asks = index.filter("asks").select("number", "id", "v")
+    asked = materialize(spark, asks.mapInPandas(probe, "list int, qids binary, qdata binary"), "probes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn, _ = shared.value
@@ -191,22 +235,22 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = 0.96, i
         last, turned = None, None
         for batch in batches:
             for qids, qdata, ids, data in zip(batch["qids"], batch["qdata"], batch["ids"], batch["data"]):
-                same = last == ids[:64] + ids[-64:]
-                last = ids[:64] + ids[-64:]
+                same = last == (ids[:64], ids[-64:], len(ids))
+                last = ids[:64], ids[-64:], len(ids)
                 ids, data = unpack(ids, data, width, dtype)
-                qids, qdata = unpack(qids, qdata, width, dtype)
+                (number, qids), qdata = unpack(qids, qdata, width, dtype, 2)
                 if not same:
                     turned = (lift(data, greatest) @ turn).astype(np.float32)
-                asks = (lift(qdata, None) @ turn).astype(np.float32)
-                bounds = np.array([known.get(i, np.inf) for i in qids.tolist()], np.float64)
-                at, col, bounds = scan_chunk(asks, turned, bounds, k)
-                for i, b in zip(qids.tolist(), bounds.tolist()):
-                    known.put(i, b)
-                other = qids[at] != ids[col]
-                at, col = at[other], col[other]
-                score = np.concatenate([np.zeros(0), *((qdata[at[i : i + 65536]].astype(np.float64) * data[col[i : i + 65536]]).sum(axis=1) for i in range(0, len(at), 65536))])
-                keep = best(at, ids[col], score, k)
-                yield pd.DataFrame({"query_id": qids[at[keep]], "vec_id": ids[col[keep]], "score": score[keep]})
-
-    pairs = asked.join(blocks, ["list", "chunk"]).select("qids", "qdata", "ids", "data")
-    return ranked(pairs.mapInPandas(run, "query_id bigint, vec_id bigint, score double"), k)
+                for a in range(0, len(qids), 512):
+                    number_, qids_, qdata_ = number[a : a + 512], qids[a : a + 512], qdata[a : a + 512]
+                    asks = (lift(qdata_, None) @ turn).astype(np.float32)
+                    bounds = np.array([known.get(i, np.inf) for i in number_.tolist()], np.float64)
+                    at, col, bounds = scan_chunk(asks, turned, bounds, k, np.nonzero(qids_[:, None] == ids[None]))
+                    for i, b in zip(number_.tolist(), bounds.tolist()):
+                        known.put(i, b)
+                    score = np.concatenate([np.zeros(0), *((qdata_[at[i : i + 65536]].astype(np.float64) * data[col[i : i + 65536]]).sum(axis=1) for i in range(0, len(at), 65536))])
+                    keep = best(at, ids[col], score, k)
+                    yield pd.DataFrame({"query": number_[at[keep]], "query_id": qids_[at[keep]], "vec_id": ids[col[keep]], "score": score[keep]})
+
+    pairs = asked.join(blocks, "list").select("qids", "qdata", "ids", "data")
+    return ranked(pairs.mapInPandas(run, "query bigint, query_id bigint, vec_id bigint, score double"), k)

@@ -6,11 +6,17 @@ query's k-th best product so far over the query's length and the bucket's greate
 candidates whose largest query coordinates lie within the angle that the threshold allows, found in sorted columns) or by
 length (the prefix of the bucket that is long enough). What is left is verified by exact integer products.
 
-Vectors are scaled and floored first. Query blocks meet candidate blocks (both of bounded size) one pair at a time; each
-pair yields at most k rows a query. Null vectors and vectors with a null or non-finite component take no part. Shorter
-vectors count as filled up with zeros. Ties go to the smaller id; equal rows of one id are equal candidates, and a
-candidate with the query's own id is passed over. Every row of a query id searches, and the lists of its rows are ranked
-together, so a candidate comes once for each of them. Components beyond 2**53 / scale aren't supported.
+Vectors are scaled and floored first. Candidates are written in blocks of a level each, levels by falling length. Every
+query first meets the SEEDS longest candidates and gets the k-th best product there as its bound. A level whose greatest
+length times the query's length stays under the bound (strictly, for ties go to the smaller id) is left out before the join:
+queries are ordered by the shortest length that they need, so a block of queries needs levels up to some last one and
+travels to no other. Inside the join a task keeps the bounds of the query blocks that it has seen, so that thresholds go on
+from block to block. Each pair of blocks yields at most k rows a query.
+
+Null vectors and vectors with a null or non-finite component take no part. Shorter vectors count as filled up with zeros.
+Ties go to the smaller id; equal rows of one id are equal candidates, and a candidate with the query's own id is passed over.
+Every row of a query id is a query and has its own k ranks. Components beyond 2**53 / scale aren't supported, and vectors of
+more than MOST_WIDTH components raise.
 """
 
 from __future__ import annotations
@@ -23,8 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import limit_arrow, materialize, tasks
-from .vectors import best, pack_rows, ranked, unpack, usable
+from .vectors import best, check_width, numbered, pack_rows, ranked, unpack
 
+#: Levels of candidates at most; longest candidates that give the first bounds; query blocks whose bounds a task keeps.
+LEVELS, SEEDS, KEPT_BLOCKS = 4_096, 4_096, 1_024
 #: Candidates and queries of one block, candidates of one bucket (at most, and before a bucket may end by length), and the
 #: least length in a bucket, as a share of the greatest.
 CANDIDATES, QUERIES, BUCKET, SMALL_BUCKET, SIMILAR = 8_192, 1_024, 1_024, 64, 0.9
@@ -47,11 +55,13 @@ def buckets(rows: np.ndarray) -> list[slice]:
 class Searcher:
     """The k best of a block of queries over buckets that come one after the other."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray | None = None):
+        """least: a product that k candidates of each query reach at least, where it is known."""
         self.ids, self.q, self.k = ids, queries.astype(np.float64), k
         self.length = np.sqrt((self.q**2).sum(axis=1))
         self.unit = self.q / np.maximum(self.length, 1e-300)[:, None]
-        self.least = np.full(len(ids), -np.inf)
+        self.least = np.full(len(ids), -np.inf) if least is None else least.astype(np.float64)
+        self.pruned = self.sparse = 0  # (query, bucket) pairs that are left out, or searched by coordinates
         self.focus = np.argsort(-np.abs(self.unit), axis=1, kind="stable")[:, :FOCUS]
         self.found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
@@ -63,7 +73,7 @@ class Searcher:
         counts = np.bincount(query, minlength=len(self.ids))
         full = counts >= self.k
         ends = np.cumsum(counts) - 1
-        self.least[full] = score[ends[full]]
+        self.least[full] = np.maximum(self.least[full], score[ends[full]])
 
     def bucket(self, ids: np.ndarray, rows: np.ndarray) -> None:
         """rows by falling length."""
@@ -74,7 +84,9 @@ class Searcher:
         local[self.length * length[0] == 0] = -np.inf
         # a zero query or bucket scores 0 everywhere, which can only be pruned by a positive k-th best
         alive = np.where(self.length * length[0] == 0, self.least <= 0, local <= 1 + 1e-12)
+        self.pruned += int((~alive).sum())
         slices = self.regions(rows, length, local, np.flatnonzero(alive & (local > 0)))
+        self.sparse += len(slices)
         dense = alive.copy()
         dense[list(slices)] = False
         self.by_length(ids, rows, length, np.flatnonzero(dense))
@@ -132,36 +144,109 @@ class Searcher:
         self.add(queries[at], ids[col], score[at, col])
 
 
-def search(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id long, rank int, vec_id long, score long: the k largest products of every query row with the other rows."""
+def _levels(rows: DataFrame, width: int, total: int) -> DataFrame:
+    """level, longest (the greatest length in the level), ids, data: blocks of candidates, levels by falling length."""
+    spark = rows.sparkSession
+    parts = max(1, min(total // BUCKET, LEVELS, max(tasks(spark), total // CANDIDATES)))
+    order = F.col("norm").desc(), F.col("number")
+    by_length = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    blocks = pack_rows(by_length.select(F.spark_partition_id().alias("level"), "id", "v"), ("level",), width, CANDIDATES, "f8")
+    return materialize(spark, blocks, "candidates")
+
+
+def _seeded(rows: DataFrame, width: int, k: int) -> DataFrame:
+    """query, id, v, least, need (the shortest candidate length that can reach least) of every query row."""
+    spark = rows.sparkSession
+    most = max(2 * k, min(SEEDS, (1 << 22) // width))
+    longest = rows.orderBy(F.col("norm").desc(), "number").limit(most).select("id", "v").toPandas()  # SEEDS vectors at most
+    ids, data = longest["id"].to_numpy(np.int64), np.zeros((len(longest), width))
+    for i, v in enumerate(longest["v"]):
+        data[i, : len(v)] = v
+    shared = spark.sparkContext.broadcast((ids, data))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, data = shared.value
+        parts = buckets(data)
+        for batch in batches:
+            if not len(batch):
+                continue
+            queries = np.zeros((len(batch), width))
+            for i, v in enumerate(batch["v"]):
+                queries[i, : len(v)] = v
+            own = Searcher(batch["id"].to_numpy(np.int64), queries, k)
+            for part in parts:
+                own.bucket(ids[part], data[part])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = np.where(own.least > 0, own.least / own.length * (1 - 1e-12), 0.0)
+            yield batch.assign(least=own.least, need=need)
+
+    return rows.filter("asks").select(F.col("number").alias("query"), "id", "v").mapInPandas(run, "query bigint, id bigint, v array<double>, least double, need double")
+
+
+def block_pairs(df: DataFrame, is_query: Column, k: int, scale: float, id_col: str, vector_col: str) -> tuple[DataFrame, int, int]:
+    """The pairs of a query block and a candidate block that can hold results (qids: query and id, qdata, least, ids, data),
+    the width of the vectors, and the number of pairs of a query block and a level before pruning."""
     spark = df.sparkSession
     limit_arrow(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), is_query.alias("_query"), F.col(vector_col).alias("v")).filter(usable(F.col("v")) & F.col("id").isNotNull())
+    rows = numbered(df, is_query, id_col, vector_col)
     rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("double")))
-    rows = rows.withColumn("_norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    rows = materialize(spark, rows, "scaled")
-    total, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    width = max(1, width)
-    parts = max(1, min(total // BUCKET, max(tasks(spark), total // CANDIDATES)))
-    by_length = rows.repartitionByRange(parts, F.col("_norm").desc(), F.col("id")).sortWithinPartitions(F.col("_norm").desc(), F.col("id"))
-    blocks = pack_rows(by_length.select(F.spark_partition_id().alias("part"), "id", "v"), ("part",), width, CANDIDATES, "f8")
-    blocks = materialize(spark, blocks, "candidates")
-    last = blocks.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
-    queries = rows.filter("_query").select(F.lit(0).alias("qpart"), "id", "v")
-    n_queries = queries.count()
-    queries = pack_rows(queries.repartition(max(1, -(-n_queries // QUERIES))), ("qpart",), width, QUERIES, "f8")
-    queries = queries.select(F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("part"))
+    rows = materialize(spark, rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), "scaled")
+    total, width, asked = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count_if("asks")).first()
+    width = check_width(width)
+    levels = _levels(rows, width, total)
+    # the greatest length of each level: LEVELS rows at most
+    first = levels.mapInPandas(lambda batches: _longest(batches, width), "level int, longest double").groupBy("level").agg(F.max("longest").alias("longest"))
+    longest = sorted(map(tuple, first.collect()))
+    seeded = materialize(spark, _seeded(rows, width, k), "seeded")
+    # queries in blocks by what they need; a block goes to the levels that are long enough for one of its queries
+    parts = max(1, -(-asked // QUERIES))
+    packed = seeded.select(F.lit(0).alias("part"), "query", "id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v")), F.array("least")).alias("v"), "need")
+    packed = packed.repartitionByRange(parts, F.col("need"), F.col("query")).sortWithinPartitions("need", "query")
+    packed = pack_rows(packed.select("part", "query", "id", "v"), ("part",), width + 1, QUERIES, "f8", ids=("query", "id"))
+    packed = materialize(spark, packed.select(F.col("ids").alias("qids"), F.col("data").alias("qdata")), "queries")
+    reach = np.array([x for _, x in longest])
+    names = np.array([n for n, _ in longest], dtype=np.int32)
+
+    @F.pandas_udf("array<int>")
+    def wanted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for qids, qdata in batches:
+            out = []
+            for i, d in zip(qids, qdata):
+                _, data = unpack(i, d, width + 1, "f8", 2)
+                length = np.sqrt((data[:, :-1] ** 2).sum(axis=1))
+                least = data[:, -1]
+                # strictly under the bound goes; without a positive length a bound above 0 is out of reach
+                can = (length[:, None] * reach[None] * (1 + 1e-12) >= least[:, None]).any(axis=0)
+                out.append(names[can])
+            yield pd.Series(out)
+
+    sent = packed.select("qids", "qdata", F.explode(wanted("qids", "qdata")).alias("level"))
+    return sent.join(levels, "level").select("qids", "qdata", "ids", "data"), width, -(-asked // QUERIES) * len(longest)
+
+
+def _longest(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [(level, float(np.sqrt((unpack(i, d, width, "f8")[1] ** 2).sum(axis=1)).max())) for level, i, d in zip(batch["level"], batch["ids"], batch["data"])]
+        yield pd.DataFrame(found, columns=["level", "longest"])
+
+
+def search(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id long, rank int, vec_id long, score long: the k largest products of every query row with the other rows."""
+    pairs, width, _ = block_pairs(df, is_query, k, scale, id_col, vector_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bounds: dict[int, np.ndarray] = {}
         for batch in batches:
             for qids, qdata, ids, data in zip(batch["qids"], batch["qdata"], batch["ids"], batch["data"]):
                 ids, data = unpack(ids, data, width, "f8")
-                qids, qdata = unpack(qids, qdata, width, "f8")
-                own = Searcher(qids, qdata, k)
+                (query, qids), qdata = unpack(qids, qdata, width + 1, "f8", 2)
+                if len(bounds) > KEPT_BLOCKS:
+                    bounds.clear()
+                own = Searcher(qids, qdata[:, :-1], k, bounds.get(int(query[0]), qdata[:, -1]))
                 for part in buckets(data):
                     own.bucket(ids[part], data[part])
-                query, vec, score = own.found
-                yield pd.DataFrame({"query_id": qids[query], "vec_id": vec, "score": score.astype(np.int64)})
+                bounds[int(query[0])] = own.least
+                at, vec, score = own.found
+                yield pd.DataFrame({"query": query[at], "query_id": qids[at], "vec_id": vec, "score": score.astype(np.int64)})
 
-    pairs = queries.join(blocks, "part").select("qids", "qdata", "ids", "data")
-    return ranked(pairs.mapInPandas(run, "query_id bigint, vec_id bigint, score bigint"), k)
+    return ranked(pairs.mapInPandas(run, "query bigint, query_id bigint, vec_id bigint, score bigint"), k)
