@@ -1,9 +1,10 @@
 r"""Secret scans with a trigram inverted index. DataFrame functions only on the main path.
 
 From each rule's regular expression a Boolean query over trigrams is derived: the trigrams of every literal that a match
-must hold, OR over the alternatives. Texts that satisfy some query by themselves are indexed by the trigrams that occur in any
-of these queries (lower case), as posting lists per segment of documents. A rule's candidates are the intersections (AND) and unions (OR) of its posting
-lists; they are verified with the regular expression. Rules without a mandatory trigram scan every text.
+must hold, OR over the alternatives. The index has a posting list for each trigram that some query names (lower case) and
+each segment of documents: one pass of one regular expression finds all of them in a text, and every document that holds one
+is posted. A rule's candidates are the intersections (AND) and unions (OR) of its posting lists; only candidates meet the
+regular expression. Rules without a mandatory trigram scan every text.
 
 Segments are hash buckets of documents, so that a posting list never holds more than a segment. Spans are in code points,
 end exclusive; within a rule matches are leftmost and do not overlap, and a match that fails the rule's length test is
@@ -135,18 +136,41 @@ def _cheap(rule: Rule) -> Rule:
     return rule
 
 
+def finder(grams: list[str]) -> str:
+    """A regular expression whose group 1 matches, at every place where one of the trigrams begins, that trigram."""
+
+    def escaped(chars) -> str:
+        out = "".join(c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}" for c in sorted(chars))
+        return out if len(chars) == 1 else f"[{out}]"
+
+    thirds: dict[str, set[str]] = {}
+    for g in grams:
+        thirds.setdefault(g[:2], set()).add(g[2])
+    seconds: dict[str, dict[tuple[str, ...], set[str]]] = {}
+    for two, last in thirds.items():
+        seconds.setdefault(two[0], {}).setdefault(tuple(sorted(last)), set()).add(two[1])
+    firsts: dict[tuple, set[str]] = {}
+    for one, ways in seconds.items():
+        firsts.setdefault(tuple(sorted((last, tuple(sorted(two))) for last, two in ways.items())), set()).add(one)
+    ways = "|".join(escaped(one) + "(?:" + "|".join(escaped(two) + escaped(last) for last, two in rest) + ")" for rest, one in firsts.items())
+    return f"(?=({ways}))"
+
+
+def index(df: DataFrame, queries: list[list[list[str]]], key: str, text: str, segments: int) -> DataFrame:
+    """_segment, _gram, _list array<bigint>: the documents (by key) of a segment that hold the trigram, for each trigram of the queries."""
+    grams = sorted({g for q in queries for way in q for g in way})
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(finder(grams)), F.lit(1)))
+    postings = df.select(F.pmod(F.col(key), F.lit(segments)).alias("_segment"), F.col(key).alias("_key"), F.explode(found).alias("_gram"))
+    return postings.groupBy("_segment", "_gram").agg(F.collect_set("_key").alias("_list"))
+
+
 def candidates(df: DataFrame, rules: tuple[Rule, ...], key: str, text: str, segments: int) -> DataFrame:
-    """key, rules array<int>: documents that the index leaves for each rule that has a trigram query."""
+    """_key, _rules array<int>: documents that the index leaves for each rule that has a trigram query."""
     queries = {n: q for n, r in enumerate(rules) if (q := trigram_query(r.pattern))}
-    grams = sorted({g for q in queries.values() for way in q for g in way})
-    marks = F.array(*(F.when(F.contains("_low", F.lit(g)), F.lit(g)) for g in grams))
-    held = df.select(F.col(key).alias("_key"), F.lower(text).alias("_low")).select("_key", F.filter(marks, lambda g: g.isNotNull()).alias("_grams"))
-    # a text without all trigrams of some alternative can't be a candidate; it leaves before the postings are made
-    ways = [F.size(F.array_except(F.array(*map(F.lit, way)), "_grams")) == 0 for q in queries.values() for way in q]
-    postings = held.filter(reduce(lambda a, b: a | b, ways))
-    postings = postings.select(F.pmod(F.col("_key"), F.lit(segments)).alias("_segment"), "_key", F.explode("_grams").alias("_gram"))
-    index = postings.groupBy("_segment", "_gram").agg(F.collect_set("_key").alias("_list"))
-    by_segment = index.groupBy("_segment").agg(F.map_from_entries(F.collect_list(F.struct("_gram", "_list"))).alias("_lists"))
+    if not queries:
+        return df.select(F.col(key).alias("_key"), F.array().cast("array<int>").alias("_rules")).filter(F.lit(False))
+    lists = index(df, list(queries.values()), key, text, segments)
+    by_segment = lists.groupBy("_segment").agg(F.map_from_entries(F.collect_list(F.struct("_gram", "_list"))).alias("_lists"))
     none = F.array().cast("array<bigint>")
 
     def posting(g: str) -> Column:
