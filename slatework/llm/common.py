@@ -91,6 +91,29 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def most_frequent(rows: DataFrame, group: str, key: str, n: str, most: int) -> DataFrame:
+    """Of each group's rows about `most` by falling n: whole steps of n, and of the step that doesn't fit a share by the
+    hash of the key. Groups must be few; the driver gets their steps, 16 for each doubling of n."""
+    step = F.floor(F.log2(n) * 16).cast("int")
+    sizes: dict[str, list[tuple[int, int]]] = {}
+    for name, s, c in rows.groupBy(group, step.alias("s")).count().collect():
+        sizes.setdefault(name, []).append((s, c))
+    bounds = []
+    for name, found in sizes.items():
+        room = most
+        for s, c in sorted(found, reverse=True):
+            if c > room:
+                bounds.append((name, s, int((1 << 20) * room / c)))
+                break
+            room -= c
+    if not bounds:
+        return rows
+    limits = rows.sparkSession.createDataFrame(bounds, "_group string, _step int, _part long")
+    met = rows.join(F.broadcast(limits), F.col(group) == F.col("_group"), "left")  # a row for each group at most
+    some = F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.col("_part")
+    return met.filter(F.col("_group").isNull() | (step > F.col("_step")) | ((step == F.col("_step")) & some)).select(*rows.columns)
+
+
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, mod modulus, equals remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, limit_arrow, materialize, per_process
+from .common import discard, limit_arrow, materialize, most_frequent, per_process
 
 #: Letters of an n-gram; probabilities of one order that the models of all languages store together; languages at most;
 #: distinct words that a counting task holds.
@@ -263,29 +263,6 @@ def _levels(longest: DataFrame) -> list[DataFrame]:
     return out[::-1]
 
 
-def _most_frequent(level: DataFrame, most: int) -> DataFrame:
-    """Of each language's rows at most `most` by falling n: whole steps, and of the step that doesn't fit a share by hash."""
-    step = F.floor(F.log2("n") * 16).cast("int")
-    sizes: dict[str, list[tuple[int, int]]] = {}
-    for name, s, n in level.groupBy("lang", step.alias("s")).count().collect():  # languages times 16 steps a doubling
-        sizes.setdefault(name, []).append((s, n))
-    full = {name: found for name, found in sizes.items() if sum(n for _, n in found) > most}
-    if not full:
-        return level
-    bounds = []
-    for name, found in full.items():
-        room = most
-        for s, n in sorted(found, reverse=True):
-            if n > room:
-                bounds.append((name, s, int((1 << 20) * room / n)))
-                break
-            room -= n
-    limits = level.sparkSession.createDataFrame(bounds, "_lang string, _step int, _part long")
-    met = level.join(F.broadcast(limits), F.col("lang") == F.col("_lang"), "left")  # MOST_LANGUAGES rows at most
-    some = F.pmod(F.xxhash64("gram"), F.lit(1 << 20)) < F.col("_part")
-    return met.filter(F.col("_lang").isNull() | (step > F.col("_step")) | ((step == F.col("_step")) & some)).select(*level.columns)
-
-
 def learn(rows: DataFrame, lang_col: str, text_col: str, entries: int = ENTRIES) -> dict[str, KneserNey]:
     """One model per language of rows whose language and text aren't null."""
     spark = rows.sparkSession
@@ -300,7 +277,7 @@ def learn(rows: DataFrame, lang_col: str, text_col: str, entries: int = ENTRIES)
             return {}
         discounts = {name: a / (a + 2 * b) if a and b else 0.5 for name, a, b in found}
         totals = level.groupBy("lang", F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("n").alias("total"))
-        kept = _most_frequent(level, max(1, entries // len(discounts))).withColumn("context", F.substring("gram", 1, k - 1))
+        kept = most_frequent(level, "lang", "gram", "n", max(1, entries // len(discounts))).withColumn("context", F.substring("gram", 1, k - 1))
         stored = kept.join(totals, ["lang", "context"]).select("lang", "gram", "n", "total").toArrow()  # ENTRIES rows at most
         names, lang = stored["gram"].to_pandas(), stored["lang"].to_pandas().to_numpy()
         n, total = stored["n"].to_numpy().astype(np.float64), stored["total"].to_numpy().astype(np.float64)

@@ -1,14 +1,18 @@
 r"""Language-model scores of whole texts by a log-bilinear neural model.
 
 Tokens: ASCII letters lower-cased, words `[^\x20\x09-\x0D]+`, then one end. Symbols of the model: the end, the most
-frequent words, and classes of all other words (by a hash of the last three bytes). A symbol follows another with
-softmax(q[before] . r[symbol] + b[symbol]); q, r and b are trained with noise-contrastive estimation, the expectation over
-the unigram noise taken exactly, in numpy, on the counts of all adjacent symbols of all training texts. One batched matrix
-product gives the normalised log-probabilities of all pairs of symbols. A word inside its class has (c + 1) / (n + v + 1),
-n tokens and v words of the class in training, c its own count; the rest is for unseen words.
-
-What grows with the corpus stays distributed: the word counts are a table. Workers get the head of it (HEAD_WORDS at most);
-tokens outside it meet their counts in a join. Driver and workers hold at most (1 + SOFTMAX_WORDS + CLASSES) ** 2 pairs.
+frequent words (their number grows with the root of the training tokens), and classes of all other words (by a hash of the
+last three bytes). With a and c the symbols one and two places before, a symbol has the probability
+softmax(p1[a] . r[symbol] + p2[c] . r[symbol] + b[symbol]), p1 and p2 being the context vectors of the two places times the
+matrices of these places. Trained in numpy by noise-contrastive estimation: each step draws pairs of a context and a
+symbol from the counts of all training texts at both distances, and noise from the unigram counts, and learns to tell them
+apart. The normaliser of every pair of contexts is one matrix product, for exp of a sum over places is a product; all in
+double precision. A word inside its class has (c + 1) / (n + v + 1), n tokens and v words of the class in training, c its own
+count; the rest is for unseen words.
+
+What grows with the corpus stays distributed: the word counts are a table. Workers get the head of it (HEAD_WORDS, by falling
+count); tokens outside it meet their counts in a join. Driver and workers hold at most (1 + SOFTMAX_WORDS + CLASSES) ** 2
+pairs of symbols for each distance.
 
 Null and empty texts hold the end alone. Without training rows every symbol is equally likely. Repeated rows are scored
 each; extra columns are ignored.
@@ -28,12 +32,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_arrow, materialize, per_process, tasks
+from .common import limit_arrow, materialize, most_frequent, per_process, tasks
 
 #: Bounds of the model: words with a symbol of their own, classes, length of vectors, words that workers hold.
-SOFTMAX_WORDS, CLASSES, DIMENSIONS, HEAD_WORDS = 1023, 256, 32, 262_144
-#: Training: noise samples for a data sample, Adam's steps and rate.
-NOISE, STEPS, RATE = 16.0, 120, 0.08
+SOFTMAX_WORDS, CLASSES, DIMENSIONS, HEAD_WORDS = 511, 1_024, 32, 262_144
+#: Training: pairs and noise samples of a step, steps, Adam's rate. Symbols before a symbol that predict it, and the weight of
+#: what each adds: they are learnt one by one and say partly the same (chosen on held-out texts).
+BATCH, NOISE, STEPS, RATE, PLACES, WEIGHT = 2_048, 256, 800, 0.02, 2, 0.7
 #: Words that a counting task holds at once; rows of pair counts that travel together.
 FLUSH_WORDS, BLOCK = 200_000, 40
 END = b"\n"
@@ -108,52 +113,54 @@ class Index(dict):
         return out
 
 
-def vocabulary(counts: DataFrame, softmax_words: int, classes: int, head_words: int) -> Vocabulary:
-    step = F.floor(F.log2("n") * 16).cast("int")
-    own_class = F.crc32(F.substring("word", -3, 3)) % classes
+def softmax_words_for(tokens: int) -> int:
+    """Words with a symbol of their own: an eighth of the root of the training tokens."""
+    return int(np.clip(math.sqrt(tokens) / 8, 32, SOFTMAX_WORDS))
+
+
+def vocabulary(counts: DataFrame, softmax_words: int | None = None, classes: int = CLASSES, head_words: int = HEAD_WORDS) -> Vocabulary:
     words = counts.filter(F.col("word") != F.lit(END))
-    steps = sorted(words.groupBy(step.alias("s")).count().collect(), reverse=True)
-    least, held = None, 0
-    for s, n in steps:
-        if held + n > head_words:
-            break
-        least, held = s, held + n
-    rows = words.filter(step >= least).select("word", "n").collect() if least is not None else []
-    rows.sort(key=lambda r: (-r[1], bytes(r[0])))
-    head = [bytes(r[0]) for r in rows]
-    n_head = np.array([r[1] for r in rows], dtype=np.int64)
     class_tokens, class_words = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
+    own_class = F.crc32(F.substring("word", -3, 3)) % classes
     for c, n, v in words.groupBy(own_class.alias("c")).agg(F.sum("n"), F.count("*")).collect():
         class_tokens[c], class_words[c] = n, v
     end = counts.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
     total, distinct = int(class_tokens.sum()) + end, int(class_words.sum()) + (end > 0)
-    softmax = min(softmax_words, len(head))
+    head_rows = most_frequent(words.withColumn("all", F.lit("")), "all", "word", "n", head_words).select("word", "n")
+    rows = sorted(((bytes(r[0]), r[1]) for r in head_rows.collect()), key=lambda r: (-r[1], r[0]))[:head_words]
+    head = [w for w, _ in rows]
+    n_head = np.array([n for _, n in rows], dtype=np.int64)
+    softmax = min(softmax_words_for(total) if softmax_words is None else softmax_words, len(head))
     for w, n in zip(head[:softmax], n_head[:softmax].tolist()):
         class_tokens[class_of(w, classes)] -= n
         class_words[class_of(w, classes)] -= 1
     return Vocabulary(head, n_head, end, total, distinct, class_tokens, class_words, softmax)
 
 
+def before(after: np.ndarray, place: int) -> np.ndarray:
+    """The symbols `place` places before the symbols of a text; the end comes before the first one."""
+    return np.concatenate([np.zeros(min(place, len(after)), after.dtype), after[: max(0, len(after) - place)]])
+
+
 def pair_counts(texts: DataFrame, v: Vocabulary) -> np.ndarray:
-    """How often a symbol (column) follows another (row) in all texts; the end comes before the first word."""
+    """How often a symbol (column) comes one and two places (first axis) after another (row) in all texts."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(v)
     n = v.symbols
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, pairs = shared.value.index(), np.zeros(n * n, dtype=np.int64)
+        index, pairs = shared.value.index(), np.zeros(PLACES * n * n, dtype=np.int64)
         some = False
         for batch in batches:
-            parts = []
-            for text in batch["text"]:
-                parts += [index.symbols(index.places(words_of(text))), np.zeros(1, np.int64)]
+            parts = [np.append(index.symbols(index.places(words_of(text))), 0) for text in batch["text"]]
             if parts:
                 some = True
                 after = np.concatenate(parts)
-                before = np.r_[0, after[:-1]]
-                key, times = np.unique(before * n + after, return_counts=True)
-                pairs[key] += times
-        rows = [(k, zlib.compress(pairs[k * BLOCK * n : (k + 1) * BLOCK * n].tobytes(), 1)) for k in range(-(-n // BLOCK))] if some else []
+                for place in range(PLACES):
+                    key, times = np.unique((place * n + np.concatenate([before(p, place + 1) for p in parts])) * n + after, return_counts=True)
+                    pairs[key] += times
+        size = BLOCK * n
+        rows = [(k, zlib.compress(pairs[k * size : (k + 1) * size].tobytes(), 1)) for k in range(-(-len(pairs) // size))] if some else []
         yield pd.DataFrame(rows, columns=["block", "data"])
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,62 +173,82 @@ def pair_counts(texts: DataFrame, v: Vocabulary) -> np.ndarray:
 
     schema = "block int, data binary"
     blocks = texts.mapInPandas(count, schema).repartition(tasks(spark), "block").mapInPandas(add, schema)
-    out = np.zeros(n * n, dtype=np.int64)
+    out = np.zeros(PLACES * n * n, dtype=np.int64)
     for k, data in blocks.collect():
         out[k * BLOCK * n : (k + 1) * BLOCK * n] = np.frombuffer(zlib.decompress(bytes(data)), np.int64)
-    return out.reshape(n, n)
+    return out.reshape(PLACES, n, n)
 
 
 @dataclass
 class Model:
-    q: np.ndarray
-    r: np.ndarray
-    b: np.ndarray
-
-    def log10_table(self) -> np.ndarray:
-        """Normalised log10 probabilities of each symbol (column) after each symbol (row)."""
-        s = self.q @ self.r.T + self.b
-        s -= s.max(axis=1, keepdims=True)
-        s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
-        return s / math.log(10)
-
-
-def train(pairs: np.ndarray, dimensions: int = DIMENSIONS, noise: float = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> Model:
-    """Noise-contrastive estimation: tell each pair of the data from `noise` pairs drawn by the unigram counts."""
-    n = len(pairs)
+    contexts: np.ndarray  # a vector for each symbol as a context
+    places: np.ndarray  # a matrix for each place before the symbol
+    symbols: np.ndarray  # a vector for each symbol
+    bias: np.ndarray
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """What the symbol at each place adds to each symbol (the bias is in the first), and the log of the normaliser of
+        each pair of contexts."""
+        adds = np.stack([self.contexts @ m @ self.symbols.T for m in self.places])
+        adds[0] += self.bias
+        tops = adds.max(axis=2, keepdims=True)
+        first, second = np.exp(adds - tops)
+        norm = first @ second.T
+        return adds, np.log(norm) + tops[0] + tops[1].T
+
+
+def train(pairs: np.ndarray, dimensions: int = DIMENSIONS, batch: int = BATCH, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> Model:
+    """Noise-contrastive estimation: tell a pair of the data from `noise` pairs of its context with symbols drawn by the
+    unigram counts. pairs: counts by place, context and symbol."""
+    n = pairs.shape[1]
     rng = np.random.default_rng(seed)
-    total = max(1.0, float(pairs.sum()))
-    unigram = (pairs.sum(axis=0) + 1.0) / (total + n)
-    weight = (pairs.sum(axis=1) / total).astype(np.float32)
-    params = [rng.normal(0, 0.1, (n, dimensions)).astype(np.float32), rng.normal(0, 0.1, (n, dimensions)).astype(np.float32), np.log(unigram).astype(np.float32)]
+    start = [rng.normal(0, 0.1, (n, dimensions)), np.stack([np.eye(dimensions)] * PLACES), rng.normal(0, 0.1, (n, dimensions))]
     if not pairs.any():
-        return Model(np.zeros_like(params[0]), params[1], np.zeros(n, np.float32))
+        return Model(np.zeros_like(start[0]), start[1], start[2], np.zeros(n))
+    unigram = pairs[0].sum(axis=0) + 1.0
+    unigram /= unigram.sum()
+    params = [p.astype(np.float32) for p in (*start, np.log(unigram))]
     log_noise = np.log(noise * unigram).astype(np.float32)
+    cells = [np.flatnonzero(p) for p in pairs]
+    shares = [np.cumsum(p.ravel()[c], dtype=np.float64) for p, c in zip(pairs, cells)]
+    noise_share = np.cumsum(unigram)
     m, u = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    scale = np.float32(n)
     for t in range(1, steps + 1):
-        q, r, b = params
+        contexts, places, symbols, bias = params
         grads = [np.zeros_like(p) for p in params]
-        for i in range(0, n, 256):
-            data = (pairs[i : i + 256] * (scale / total)).astype(np.float32)
-            d = q[i : i + 256] @ r.T
-            d += b - log_noise
-            p = 1 / (1 + np.exp(-np.clip(d, -30, 30)))  # of being data
-            g = data - p * (data + (scale * noise * weight[i : i + 256])[:, None] * unigram.astype(np.float32))
-            grads[0][i : i + 256] = g @ r
-            grads[1] += g.T @ q[i : i + 256]
-            grads[2] += g.sum(axis=0)
-        grads[0] -= 1e-4 * q
-        grads[1] -= 1e-4 * r
+        for k in range(PLACES):
+            drawn = cells[k][np.minimum(np.searchsorted(shares[k], rng.random(batch) * shares[k][-1], side="right"), len(cells[k]) - 1)]
+            c, w = drawn // n, drawn % n
+            other = np.minimum(np.searchsorted(noise_share, rng.random(noise) * noise_share[-1], side="right"), n - 1)
+            context = contexts[c]
+            guess = context @ places[k]
+            right = 1 / (1 + np.exp(np.clip((guess * symbols[w]).sum(axis=1) + bias[w] - log_noise[w], -30, 30)))  # taken for noise
+            wrong = -1 / (1 + np.exp(-np.clip(guess @ symbols[other].T + bias[other] - log_noise[other], -30, 30)))  # taken for data
+            by_guess = right[:, None] * symbols[w] + wrong @ symbols[other]
+            np.add.at(grads[0], c, by_guess @ places[k].T)
+            grads[1][k] += context.T @ by_guess
+            np.add.at(grads[2], w, right[:, None] * guess)
+            np.add.at(grads[2], other, wrong.T @ guess)
+            np.add.at(grads[3], w, right)
+            np.add.at(grads[3], other, wrong.sum(axis=0))
         lr = rate * min(1.0, 2 * (1 - (t - 1) / steps))
-        for p, g, a, c in zip(params, grads, m, u):
+        for p, g, a, v in zip(params, grads, m, u):
+            g /= batch
             a += 0.1 * (g - a)
-            c += 0.01 * (g * g - c)
-            p += lr * (a / (1 - 0.9**t)) / (np.sqrt(c / (1 - 0.99**t)) + 1e-8)
-    return Model(*params)
+            v += 0.01 * (g * g - v)
+            p += lr * (a / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    params[1] *= np.float32(WEIGHT)
+    return Model(*(p.astype(np.float64) for p in params))
 
 
-def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", softmax_words: int = SOFTMAX_WORDS, classes: int = CLASSES, head_words: int = HEAD_WORDS) -> DataFrame:
+def fit(learned: DataFrame, softmax_words: int | None = None, classes: int = CLASSES, head_words: int = HEAD_WORDS) -> tuple[DataFrame, Vocabulary, Model]:
+    """The table of word counts, the vocabulary and the model of all texts (one binary column `text`)."""
+    counts = materialize(learned.sparkSession, word_counts(learned), "word-counts")
+    v = vocabulary(counts, softmax_words, classes, head_words)
+    return counts, v, train(pair_counts(learned, v))
+
+
+def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", softmax_words: int | None = None, classes: int = CLASSES, head_words: int = HEAD_WORDS) -> DataFrame:
     """id, is_training boolean, n_tokens, n_known, train_tokens long, base_score, score double for every row of df.
 
     training: which rows the model learns from. base_score: add-one unigram log10 probability of the text.
@@ -230,15 +257,13 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     limit_arrow(spark)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     learned = df.filter(training).select(text.alias("text"))
-    counts = materialize(spark, word_counts(learned), "word-counts")
-    v = vocabulary(counts, softmax_words, classes, head_words)
-    model = train(pair_counts(learned, v))
+    counts, v, model = fit(learned, softmax_words, classes, head_words)
     shared, key = spark.sparkContext.broadcast((v, model)), uuid.uuid4().hex
 
     @F.pandas_udf("n_tokens bigint, n_known bigint, base double, model double, rest array<binary>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         v = shared.value[0]
-        index, table = per_process(key, lambda: (v.index(), shared.value[1].log10_table()))
+        index, (adds, norm) = per_process(key, lambda: (v.index(), shared.value[1].tables()))
         own = np.log10(v.counts + 1.0)
         share = np.log10(v.class_tokens + v.class_words + 1.0)
         inside = own.copy()
@@ -253,7 +278,9 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
                 after = np.append(index.symbols(places), 0)
                 known = places[places >= 0]
                 other = np.flatnonzero(places < 0)
-                model_score = table[np.r_[0, after[:-1]], after].sum(dtype=np.float64) + inside[known].sum() - share[-1 - places[other]].sum()
+                a, c = before(after, 1), before(after, 2)
+                symbol_score = (adds[0, a, after] + adds[1, c, after] - norm[a, c]).sum() / math.log(10)
+                model_score = symbol_score + inside[known].sum() - share[-1 - places[other]].sum()
                 rows.append((len(after), len(known) + (v.end > 0), own[known].sum() + base_end, model_score, [words[i] for i in other]))
             yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "model", "rest"])
 

@@ -45,22 +45,67 @@ def test_scores(odd_docs):
             assert r["score"] < 0
 
 
-def test_probabilities_sum_to_one(spark, words):
-    df = spark.createDataFrame([(i, words(60)) for i in range(30)], "doc_id long, text string")
+def brute_score(text, v, model, counts):
+    """The score of a text from the definition: one softmax over all symbols for every token."""
+    soft = {w: 1 + i for i, w in enumerate(v.words[: v.softmax])} | {lm.END: 0}
+    classes = len(v.class_tokens)
+    symbol = lambda w: soft.get(w, 1 + v.softmax + lm.class_of(w, classes))
+    words = [lm.END, lm.END, *tokens(text)]
+    total = 0.0
+    for c, a, w in zip(words, words[1:], words[2:]):
+        guess = model.contexts[symbol(a)] @ model.places[0] + model.contexts[symbol(c)] @ model.places[1]
+        logits = model.symbols @ guess + model.bias
+        total += logits[symbol(w)] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+        if w not in soft:
+            inside = {x: n for x, n in counts.items() if x not in soft and lm.class_of(x, classes) == lm.class_of(w, classes)}
+            total += math.log((counts.get(w, 0) + 1) / (sum(inside.values()) + len(inside) + 1))
+    return total / math.log(10)
+
+
+def test_score_equals_brute_force(spark, odd_docs, words):
+    rows = [(i, words(30)) for i in range(60)] + [tuple(r) for r in odd_docs.select("doc_id", "text").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    training = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
+    learned = df.filter(training).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    counts, v, model = lm.fit(learned, 20, 5, 40)
+    counts = {bytes(r[0]): r[1] for r in counts.collect()}
+    assert counts == Counter(w for r in learned.collect() for w in tokens(bytes(r[0]).decode()))
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["score"]) for r in lm.score(df, training, softmax_words=20, classes=5, head_words=40).collect())
+    want = sorted((i if i is not None else -1, len(tokens(t)), brute_score(t, v, model, counts)) for i, t in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-10)
+
+
+def test_pairs_and_probabilities(spark, words):
+    df = spark.createDataFrame([(i, words(60)) for i in range(30)] + [(30, ""), (31, "one")], "doc_id long, text string")
     learned = df.select(F.col("text").cast("binary").alias("text"))
     v = lm.vocabulary(lm.word_counts(learned), 20, 5, 1000)
     pairs = lm.pair_counts(learned, v)
-    assert pairs.sum() == sum(len(tokens(r[1])) for r in df.collect())
-    table = lm.train(pairs, steps=20).log10_table()
-    assert np.allclose((10.0**table).sum(axis=1), 1, atol=1e-4)
+    soft = {w: 1 + i for i, w in enumerate(v.words[: v.softmax])} | {lm.END: 0}
+    want = np.zeros_like(pairs)
+    for r in df.collect():
+        own = [0, 0, *(soft.get(w, 21 + lm.class_of(w, 5)) for w in tokens(r["text"]))]
+        for c, a, w in zip(own, own[1:], own[2:]):
+            want[0, a, w] += 1
+            want[1, c, w] += 1
+    assert (pairs == want).all()
+    adds, norm = lm.train(pairs, steps=20).tables()
+    p = np.exp(adds[0][:, None, :] + adds[1][None, :, :] - norm[:, :, None])
+    assert np.allclose(p.sum(axis=2), 1, atol=1e-12)
     # inside a class: known words and one share for unseen ones
     counts = {bytes(r[0]): r[1] for r in lm.word_counts(learned).collect()}
-    soft = set(v.words[: v.softmax]) | {lm.END}
     for k in range(5):
         inside = [(n + 1) for w, n in counts.items() if w not in soft and lm.class_of(w, 5) == k]
         assert sum(inside) + 1 == v.class_tokens[k] + v.class_words[k] + 1
 
 
+def test_head_of_equal_counts(spark):
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(50)),)], "text string").select(F.col("text").cast("binary").alias("text"))
+    v = lm.vocabulary(lm.word_counts(df), 10, 5, 40)
+    assert 20 <= len(v.words) <= 40 and v.softmax == 10 and v.words == sorted(v.words)
+    assert lm.softmax_words_for(10**4) < lm.softmax_words_for(10**6) < lm.softmax_words_for(10**7) < lm.softmax_words_for(10**8)
+
+
 def test_empty_and_untrained(odd_docs):
     assert lm.score(odd_docs.limit(0), F.lit(True)).count() == 0
     got = lm.score(odd_docs, F.lit(False)).collect()
@@ -68,8 +113,8 @@ def test_empty_and_untrained(odd_docs):
 
 
 def test_query_beats_the_base_on_held_out_texts(spark):
-    rows = op2_lm_score(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("base_score"), F.sum("score")).first()
-    assert rows[1] > rows[0]
+    rows = op2_lm_score(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
+    assert rows[1] > rows[0] + 0.2 * rows[2]  # log10 per token
 
 
 def brute_kneser_ney(texts):
