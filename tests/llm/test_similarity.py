@@ -70,14 +70,74 @@ def near_copies(words):
     return rows
 
 
-@pytest.mark.parametrize("width,percent,frequent,block", [(4, 85, 32, 1024), (5, 80, 3, 1024), (3, 60, 2, 8), (4, 85, 0, 5)])
-def test_jaccard(spark, near_copies, width, percent, frequent, block):
+@pytest.mark.parametrize(
+    "width,percent,options",
+    [(4, 85, {}), (5, 80, {"frequent": 2}), (3, 60, {"frequent": 1, "block_nodes": 8}), (4, 85, {"frequent": 0, "block_nodes": 5}), (4, 75, {"frequent": 1, "most_run": 1}),
+     (4, 80, {"frequent": 1, "most_run": 2, "block_nodes": 9}), (4, 85, {"node_bits": 3})],
+)
+def test_jaccard(spark, near_copies, width, percent, options):
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in near_copies], "doc_id long, text string, node string, class int")
-    got = jaccard.smallest_ids(jaccard.classes(df, width, percent, frequent=frequent, block_nodes=block)).collect()
+    got = jaccard.smallest_ids(jaccard.classes(df, width, percent, **options)).collect()
     told = sorted((r["id"] if r["id"] is not None else -1, r["n_shingles"], r["component_id"] if r["component_id"] is not None else -1) for r in got)
     assert told == brute(near_copies, width, percent)
 
 
+@pytest.mark.parametrize("percent,run", [(85, 2), (85, 3), (80, 2), (80, 3), (75, 3), (60, 2)])
+def test_linked_sets_share_a_run(percent, run):
+    """Whatever the order of the shingles, two linked sets post at least one run in common."""
+    rng = np.random.default_rng(percent + run)
+    assert jaccard.longest_run(percent) >= run
+    linked = 0
+    for _ in range(4_000):
+        n = int(rng.integers(2, 120))
+        universe = rng.permutation(4 * n + 8).astype(np.uint64)
+        x = universe[:n]
+        drop = int(rng.integers(0, n - n * percent // 100 + 1))
+        add = int(rng.integers(0, n * 100 // percent - n + 1))
+        y = np.r_[x[drop:], universe[n : n + add]]
+        both = n - drop
+        if not len(y) or 100 * both < percent * (n + add) or (drop == add == 0):
+            continue
+        linked += 1
+        order = rng.integers(0, 3, 4 * n + 8) * 1_000_000 + np.arange(4 * n + 8)  # a few classes of counts
+        order[rng.permutation(x)[: int(rng.integers(0, n + 1))].astype(int)] += 2_000_000  # shared ones late, or early
+        keys = [
+            jaccard.runs_of(s[np.argsort(order[s.astype(int)])][: jaccard.long_prefix(len(s), percent, run)[0]], run, jaccard.span(len(s), percent, run)) for s in (x, y)
+        ]
+        assert len(np.intersect1d(*keys)), (n, drop, add)
+    assert linked > 1_000
+
+
+def test_frequent_shingles_of_a_small_vocabulary(spark, monkeypatch):
+    """Canopies walk nothing, and the pairs stay below FREQUENT times the postings, which are linear in the documents."""
+    for n in (500, 3_000):
+        rng = random.Random(n)
+        rows = [(i, " ".join(rng.choice("abcdef") for _ in range(60))) for i in range(n)]
+        rows += [(n + i, rows[i][1] + " a") for i in range(0, 50)]
+        seen = {"walk": 0, "pairs": 0}
+        walk, possible = jaccard._walk, jaccard.possible
+
+        def count_walk(r, *a):
+            seen["walk"] += r.count()
+            return walk(r, *a)
+
+        def count_pairs(p, *a):
+            p = p.cache()
+            seen["pairs"] += p.count()
+            return possible(p, *a)
+
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, "_walk", count_walk)
+            m.setattr(jaccard, "possible", count_pairs)
+            found = jaccard.smallest_ids(jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)).collect()
+        least = {r["id"]: r["component_id"] for r in found}
+        assert all(least[n + i] == i for i in range(50))
+        longest = jaccard.long_prefix(57, 85, 3)[0]
+        postings = longest * (1 + jaccard.span(57, 85, 2) + sum(range(jaccard.span(57, 85, 3))))
+        print(n, seen, postings)
+        assert seen["walk"] == 0 and seen["pairs"] <= jaccard.FREQUENT * postings * n / 10
+
+
 def test_jaccard_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.smallest_ids(jaccard.classes(df)).count() == 0
