@@ -18,7 +18,9 @@ Frequent shingles. A shingle that would make more than FREQUENT ** 2 pairs makes
 their prefixes further, to an l of about the prefix itself, and post runs of two shingles: linked documents share so many
 that somewhere two shared ones follow each other closely in both prefixes, so runs of a few places' span are enough (see
 spans()), and their number stays linear in the prefix. A run is far rarer than a shingle. What is still frequent goes on to
-runs of three. Only documents that share frequent runs of three form canopies. Any pair that shares one is decided inside
+runs of three. In what is frequent even then, the documents outside the largest component are verified against one document of it, a
+different one for each run, which joins most near copies that share no min-hash with their group's smallest node; a run that
+few documents stay outside of makes pairs again. Only documents that share other runs form canopies. Any pair that shares one is decided inside
 its canopy: a walk over the documents compares each with those that no walk has reached yet, by an inverted index in memory,
 and gives back a spanning forest of the links instead of the pairs. A canopy larger than a block is first walked as its
 first block with each other block, then what that left outside the largest component is walked with every block. So no
@@ -50,7 +52,7 @@ SKETCH, SKETCH_SHARE, SLICES = 1 << 23, 8, 32
 #: Bits of a filter of wanted nodes for each of them, and at most.
 FILTER_SHARE, FILTER_BITS = 16, 1 << 30
 #: Root of the pairs that a shingle may make; runs of how many shingles are tried; documents and shingles of a canopy's block.
-FREQUENT, LONGEST_RUN, BLOCK_NODES, BLOCK_SHINGLES = 32, 3, 1_024, 2_000_000
+FREQUENT, LONGEST_RUN, BLOCK_NODES, BLOCK_SHINGLES = 32, 3, 256, 1_000_000
 #: Nodes whose 64 bits stand for several sets, at most (1e12 documents make about 3e4).
 MOST_COLLISIONS = 1_000_000
 #: Classes of a profile.
@@ -276,7 +278,7 @@ def _post(docs: DataFrame, width: int, percent: int, sketch: np.ndarray, wanted:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = per_process(("shingler", width), lambda: Shingler(width))
         sketch, wanted = shared.value[0], NodeFilter(shared.value[1])
-        noise = int(sketch.sum()) // len(sketch)
+        noise = int(sketch.sum()) // max(1, len(sketch))
         done: set[int] = set()
         for batch in batches:
             posts, sets = [], []
@@ -502,6 +504,22 @@ def _pairs(rare: DataFrame, fits: str) -> DataFrame:
     return met.filter("shared >= enough").select("a", "b")
 
 
+def _rest(posts: DataFrame, found: DataFrame, links: DataFrame, sets: DataFrame, profiles: DataFrame, percent: int, frequent: int, block_nodes: int, fits: str) -> DataFrame | None:
+    """All links where tokens that were frequent still join classes, else None: pairs for tokens that few documents are outside
+    of now, canopies for the others."""
+    spark = posts.sparkSession
+    live = _live(posts, found)
+    if live.isEmpty():
+        return None
+    rare = F.col("outside") <= frequent
+    pairs = materialize(spark, possible(_pairs(live.filter(rare), fits), profiles, percent), "pairs")
+    more = links.union(verified(pairs, sets, percent))
+    often = live.filter(~rare).select("token", "node", "n")
+    if not often.isEmpty():
+        more = more.union(_canopy_links(_canopies(often, block_nodes, BLOCK_SHINGLES), sets, links, percent, block_nodes))
+    return materialize(spark, more, "links")
+
+
 def classes(
     df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, block_nodes: int = BLOCK_NODES,
     most_run: int = LONGEST_RUN, node_bits: int = 64,
@@ -542,33 +560,34 @@ def classes(
     discard(spark, sets)
 
     # shingles, then runs of two and three where these are frequent; what stays frequent makes canopies
-    last, pairs = longest_run(percent, most_run), None
-    often = None
+    last, pairs, often = longest_run(percent, most_run), None, None
     for run in range(1, last + 1):
         if run > 1:
             hard = materialize(spark, members.join(often.select("node").distinct(), "node", "left_semi").select("hash"), "hard")
             live = _live(_post_runs(docs, width, percent, run, sketch, _node_filter(hard), nodes).select("token", "node", "n", "l"), found)
         rare = F.col("posts") * F.col("outside") <= frequent * frequent
-        if run == last and run > 1:
-            rare |= F.col("outside") <= frequent
         new = _pairs(live.filter(rare), fits)
         pairs = new if pairs is None else pairs.union(new)
-        often = live.filter(~rare).select("token", "node", "n")
+        often = live.filter(~rare)
         if often.isEmpty():
             often = None
             break
+    if often is not None:  # one document of the largest class for those outside it
+        center = often.filter("class = top").groupBy("token").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "token")).alias("c"))
+        center = materialize(spark, center.select("token", F.col("c.node").alias("b"), F.col("c.n").alias("m")), "centers")
+        pairs = pairs.union(often.filter("class != top").join(center, "token").filter(fits).select(F.least("node", "b"), F.greatest("node", "b")))
     pairs = materialize(spark, possible(pairs.distinct(), profiles, percent), "pairs")
-    canopies = None if often is None else _canopies(often, block_nodes, BLOCK_SHINGLES)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    wanted = wanted if canopies is None else wanted.union(canopies.select("node"))
+    wanted = wanted if often is None else wanted.union(often.select("node"))
     if not wanted.isEmpty():
         texts = materialize(spark, members.join(wanted.distinct(), "node", "left_semi").select("hash"), "wanted")
         sets = _sets(docs, width, _node_filter(texts), nodes).groupBy("node").agg(F.first("shingles").alias("shingles"))
         sets = materialize(spark, sets, "sets")
-        more = links.union(verified(pairs, sets, percent))
-        if canopies is not None:
-            more = more.union(_canopy_links(canopies, sets, links, percent, block_nodes))
-        found = materialize(spark, components(materialize(spark, more, "links")), "classes")
+        links = materialize(spark, links.union(verified(pairs, sets, percent)), "links")
+        found = materialize(spark, components(links), "classes")
+        if often is not None:
+            links = _rest(often.select("token", "node", "n", "l"), found, links, sets, profiles, percent, frequent, block_nodes, fits)
+            found = found if links is None else materialize(spark, components(links), "classes")
         discard(spark, sets)
     out = members.join(found.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left")
     return out.select("id", "hash", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class"))

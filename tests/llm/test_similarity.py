@@ -72,8 +72,7 @@ def near_copies(words):
 
 @pytest.mark.parametrize(
     "width,percent,options",
-    [(4, 85, {}), (5, 80, {"frequent": 2}), (3, 60, {"frequent": 1, "block_nodes": 8}), (4, 85, {"frequent": 0, "block_nodes": 5}), (4, 75, {"frequent": 1, "most_run": 1}),
-     (4, 80, {"frequent": 1, "most_run": 2, "block_nodes": 9}), (4, 85, {"node_bits": 3})],
+    [(4, 85, {}), (3, 60, {"frequent": 1, "block_nodes": 8}), (4, 85, {"frequent": 0, "block_nodes": 5, "node_bits": 3}), (4, 80, {"frequent": 1, "most_run": 2, "block_nodes": 9})],
 )
 def test_jaccard(spark, near_copies, width, percent, options):
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in near_copies], "doc_id long, text string, node string, class int")
