@@ -50,39 +50,49 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(chunk: str) -> list[str]:
-    return _LETTERS.findall(chunk.lower())
+    low = chunk.lower()
+    if low.isalpha():
+        return [low]
+    if low[:-1].isalpha() and low[-1] in ".,;:!?":
+        return [low[:-1]]
+    return _LETTERS.findall(low)
+
+
+def _grams(words: list[str], n: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The n-grams of ORDER letters of padded words that occur n times each, and how often they occur."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    flat = np.frombuffer("".join(EDGE * (ORDER - 1) + w + EDGE for w in words).encode("utf-32-le"), dtype=np.uint32)
+    starts = np.cumsum(np.r_[0, sizes[:-1] + ORDER - 1])
+    at = np.repeat(starts - np.cumsum(np.r_[0, sizes[:-1]]), sizes) + np.arange(sizes.sum())
+    codes = flat[at[:, None] + np.arange(ORDER)]
+    _, first, inverse = np.unique(_hash(codes), return_index=True, return_inverse=True)
+    found = codes[first].tobytes().decode("utf-32-le")
+    return [found[i : i + ORDER] for i in range(0, len(found), ORDER)], np.bincount(inverse, np.repeat(n, sizes)).astype(np.int64)
 
 
 def ngram_counts(df: DataFrame, lang: str, text: str) -> DataFrame:
     """lang, gram string, n long: n-grams of ORDER letters in all texts, each word padded with boundaries."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: dict[str, Counter] = {}
-        grams: Counter = Counter()
+        chunks: dict[str, Counter] = {}
 
-        def settle() -> None:
-            for name, seen in words.items():
+        def settle() -> Iterator[pd.DataFrame]:
+            for name, seen in chunks.items():
+                own: Counter = Counter()
                 for chunk, n in seen.items():
                     for word in words_of(chunk):
-                        padded = EDGE * (ORDER - 1) + word + EDGE
-                        for i in range(len(padded) - ORDER + 1):
-                            grams[name, padded[i : i + ORDER]] += n
-            words.clear()
-
-        def rows() -> pd.DataFrame:
-            out = pd.DataFrame([(name, g, n) for (name, g), n in grams.items()], columns=["lang", "gram", "n"])
-            grams.clear()
-            return out
+                        own[word] += n
+                if own:
+                    grams, n = _grams(list(own), np.fromiter(own.values(), np.int64, len(own)))
+                    yield pd.DataFrame({"lang": name, "gram": grams, "n": n})
+            chunks.clear()
 
         for batch in batches:
             for name, t in zip(batch["lang"], batch["text"]):
-                words.setdefault(name, Counter()).update(t.split())
-            if sum(map(len, words.values())) > FLUSH_WORDS:
-                settle()
-            if len(grams) > 4 * FLUSH_WORDS:
-                yield rows()
-        settle()
-        yield rows()
+                chunks.setdefault(name, Counter()).update(t.split())
+            if sum(map(len, chunks.values())) > FLUSH_WORDS:
+                yield from settle()
+        yield from settle()
 
     rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     return rows.mapInPandas(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
