@@ -18,7 +18,8 @@ Frequent shingles. A shingle that would make more than FREQUENT ** 2 pairs makes
 their prefixes further, to an l of about the prefix itself, and post runs of two shingles: linked documents share so many
 that somewhere two shared ones follow each other closely in both prefixes, so runs of a few places' span are enough (see
 spans()), and their number stays linear in the prefix. A run is far rarer than a shingle. What is still frequent goes on to
-runs of three. Only documents that share frequent runs of three form canopies. Any pair that shares one is decided inside
+runs of three. Only the documents that still post frequent runs of three form canopies, by the frequent shingles that they share;
+any pair that shares one is decided inside
 its canopy: a walk over the documents compares each with those that no walk has reached yet, by an inverted index in memory,
 and gives back a spanning forest of the links instead of the pairs. A canopy larger than a block is first walked as its
 first block with each other block, then what that left outside the largest component is walked with every block. So no
@@ -551,9 +552,12 @@ def classes(
         new = _pairs(live.filter(rare), fits)
         pairs = new if pairs is None else pairs.union(new)
         often = live.filter(~rare).select("token", "node", "n")
+        often_shingles = often if run == 1 else often_shingles
         if often.isEmpty():
             often = None
             break
+    if often is not None:  # an undecided pair shares a frequent shingle, and each of the two has frequent runs
+        often = often_shingles.join(materialize(spark, often.select("node").distinct(), "hard"), "node", "left_semi")
     pairs = materialize(spark, possible(pairs.distinct(), profiles, percent), "pairs")
     canopies = None if often is None else _canopies(often, block_nodes, BLOCK_SHINGLES)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
