@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from itertools import zip_longest
+from itertools import chain, zip_longest
 from pathlib import Path
 from typing import Iterable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +69,7 @@ def expected_lines(path: str | Path) -> Iterable[str]:
 
 def ordered_mismatch(df: DataFrame, expected: Iterable[str]) -> str | None:
     """The first difference of results in their order, read as a stream; None if there is none."""
-    for n, (got, wanted) in enumerate(zip_longest(stream_text(df, END_MARK), [*expected, END_MARK]), 1):
+    for n, (got, wanted) in enumerate(zip_longest(stream_text(df, END_MARK), chain(expected, [END_MARK])), 1):
         if got is None or wanted is None or got.strip() != wanted:
             return f"line {n}: expected {wanted!r}, got {got!r}"
     return None
@@ -88,7 +90,9 @@ class Outcome:
 
 
 def run_suite(queries: Iterable[SuiteQuery], tables: Tables, spark, strategy: str | None = None) -> list[Outcome]:
-    """Runs the enabled queries and stops at the first that fails."""
+    """Runs the enabled queries and stops at the first that fails, be it by its results, its plan or an error of Spark. Expected
+    lines that may come in any order are held by the driver. Memory limits are checked when a suite is read; enforcing them is
+    left to the session's own settings (spark.executor.memory), which a running session can't change."""
     out: list[Outcome] = []
     for q in queries:
         if q.disabled:
@@ -101,7 +105,7 @@ def run_suite(queries: Iterable[SuiteQuery], tables: Tables, spark, strategy: st
                 detail = "; ".join(f"{r['value']!r} {r['difference']:+d}" for r in wrong)
             else:
                 detail = ordered_mismatch(df, expected_lines(q.expected)) or ""
-        except PlanError as e:
+        except (PlanError, PySparkException, Py4JError) as e:  # whatever a query does at run time, the suite goes on to tell
             detail = f"{type(e).__name__}: {e}"
         out.append(Outcome(q.name, not detail, detail))
         if detail:

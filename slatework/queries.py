@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import sqlite3
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text_format import lines
-from .operators import disk_model, statistics
+from .operators import disk_model, statistics, suites
 from .plans import codec
 from .plans.builder import Q, col, f64, i32, string
 from .plans.lower import lower
 from .plans.nodes import Query
-from .sources import blocks, delimited
-from .sources.catalog import parquet_tables
+from .sources import blocks, delimited, sinks
+from .sources.catalog import SCHEMA_TYPES, Catalog, ColumnSpec, TableSpec, catalog_type, parquet_tables
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -191,8 +194,25 @@ def stat_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stat_distinct_estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact up to the limit, estimated beyond it."""
-    return statistics.summary(_table(spark, sf_dir, "orders")).select("column_name", "row_count", "distinct_count")
+    """Exact up to the limit, estimated beyond it: whether each count is, exactly or within three errors, the true one."""
+    orders = _table(spark, sf_dir, "orders")
+    true = statistics.summary(orders, exact=True).select("column_name", F.col("distinct_count").alias("n"))
+    off = F.abs(F.col("distinct_count") - F.col("n"))
+    fine = F.when(F.col("n") <= statistics.EXACT_LIMIT, off == 0).otherwise(off <= 3 * statistics.ERROR * F.col("n"))
+    return statistics.summary(orders).join(true, "column_name").select("column_name", "row_count", F.col("n").alias("true_count"), fine.alias("is_near"))
+
+
+def stat_histogram_p_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.histogram(_table(spark, sf_dir, "part"), "p_brand")
+
+
+def stat_histogram_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies of a histogram that is made from a sample and scaled to the table."""
+    return statistics.histogram(_table(spark, sf_dir, "lineitem"), "l_quantity").select("bucket", "frequency")
+
+
+def stat_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.summary(_table(spark, sf_dir, "region").limit(0)).select("column_name", "row_count", "distinct_count")
 
 
 def stat_histogram_p_size(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +230,76 @@ def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("user_id") * 37 % 100_000).alias("start_block"), (F.col("event_id") % 33).alias("num_blocks"))
 
 
+def _folder(spark: SparkSession) -> Path:
+    """A new folder for files that the driver writes: below the shared one where that is a plain path."""
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://").removeprefix("file:")
+    base = shared if shared.startswith("/") else tempfile.gettempdir()
+    Path(base).mkdir(parents=True, exist_ok=True)
+    return Path(tempfile.mkdtemp(prefix="slatework-files-", dir=base))
+
+
+def delimited_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as a bar-delimited file with a schema file beside it, found in its folder and read."""
+    df, folder = _table(spark, sf_dir, "supplier"), _folder(spark)
+    names = {v: k for k, v in SCHEMA_TYPES.items()}
+    types = "|".join(names[catalog_type(f.dataType)] for f in df.schema.fields)
+    (folder / "supplier.schema").write_text("|".join(df.columns) + "\n" + types + "\n", encoding="utf-8")
+    with open(folder / "supplier.csv", "w", encoding="utf-8") as f:
+        f.writelines(f"{line}\n" for line in sinks.stream_text(df, None))
+    return delimited.tables(spark, folder)["supplier"]
+
+
+def block_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a block file and read again."""
+    df, path = _table(spark, sf_dir, "part"), _folder(spark) / "part.bin"
+    blocks.write(df, path)
+    return blocks.read(spark, f"file://{path}", df.schema)
+
+
+def sqlite_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as a SQLite table and read again."""
+    df, path = _table(spark, sf_dir, "nation"), _folder(spark) / "nation.sqlite"
+    sinks.write_sqlite({"nation": df}, path)
+    with sqlite3.connect(path) as db:
+        rows = db.execute("SELECT * FROM nation").fetchall()
+    db.close()
+    return spark.createDataFrame(rows, df.schema)
+
+
+def catalog_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a saved and loaded catalog says of nation: types and distinct values of its columns."""
+    df, path = _table(spark, sf_dir, "nation"), _folder(spark) / "catalog.json"
+    found = statistics.collect(df)
+    columns = [ColumnSpec(f.name, t := catalog_type(f.dataType), found[f.name].to_json(t)) for f in df.schema.fields]
+    Catalog([TableSpec("nation", "nation", columns)]).save(path)
+    loaded = Catalog.load(path)["nation"]
+    rows = [(c.name, c.type, next(x["CardinalityStat"] for x in c.stats if "CardinalityStat" in x)) for c in loaded.columns]
+    return spark.createDataFrame(rows, "column_name string, data_type string, distinct_count bigint")
+
+
+def disk_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where files of as many blocks as some tables have rows lie."""
+    sizes = [(t, 4096 * _table(spark, sf_dir, t).count()) for t in ("region", "nation", "customer", "lineitem")]
+    extents, _ = disk_model.layout(sizes)
+    return spark.createDataFrame([(e.file_id, e.start_block, e.num_blocks) for e in extents], "file_id string, start_block bigint, num_blocks bigint")
+
+
+def suite_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suites that pass in any order and in order, differ from the expected lines, and fail while they run."""
+    folder, tables = _folder(spark), parquet_tables(spark, sf_dir)
+    plan = T("nation").sort("n_nationkey").build()
+    right = list(sinks.stream_text(lower(plan, tables), None))
+    for name, said in (("ordered", right), ("reversed", right[::-1]), ("short", right[:-1])):
+        (folder / name).write_text("\n".join(said) + "\n", encoding="utf-8")
+    fails = _table(spark, sf_dir, "nation").select(F.raise_error(F.lit("no such block")).cast("long").alias("n_nationkey"))
+    cases = [
+        ("any_order", plan, "reversed", True, tables), ("in_order", plan, "ordered", False, tables), ("wrong_order", plan, "reversed", False, tables),
+        ("missing_line", plan, "short", True, tables), ("failing", T("nation").build(), "ordered", True, {"nation": fails}),
+    ]
+    outcomes = [o for name, q, wanted, any_order, t in cases for o in suites.run_suite([suites.SuiteQuery(name, q, folder / wanted, sort_before_check=any_order)], t, spark)]
+    return spark.createDataFrame([(o.name, o.passed) for o in outcomes], "name string, passed boolean")
+
+
 def disk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disk_model.metrics(_trace(spark, sf_dir))
 
@@ -218,11 +308,13 @@ OTHERS: dict[str, Run] = {
     f.__name__: f
     for f in (
         json_plan, join_merge, join_shuffle_hash, result_lines, delimited_round_trip, block_round_trip, stat_range, stat_distinct,
-        stat_density, stat_distinct_estimated, stat_histogram_p_size, stat_physical_order, disk_metrics,
+        stat_density, stat_distinct_estimated, stat_histogram_p_size, stat_histogram_p_brand, stat_histogram_sampled, stat_empty, stat_physical_order,
+        delimited_file, block_file, sqlite_file, catalog_file, disk_layout, suite_outcomes, disk_metrics,
     )
 }
 
 _CUSTOMER = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+_ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 OTHERS_SQL: dict[str, str] = {
     "json_plan": PLANS["q3_shape"][1],
     "join_merge": PLANS["equi_join_2way"][1],
@@ -234,6 +326,24 @@ OTHERS_SQL: dict[str, str] = {
     "stat_distinct": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, count(DISTINCT {c}) AS distinct_count FROM customer" for c in _CUSTOMER),
     "stat_density": " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(CAST(CAST(count(DISTINCT {c}) / count(*) AS FLOAT) AS DOUBLE), 6) AS density FROM customer" for c in _CUSTOMER),
     "stat_histogram_p_size": "SELECT b AS bucket, min(p_size) AS lower_bound, max(p_size) AS upper_bound, count(*) AS frequency FROM (SELECT p_size, (row_number() OVER (ORDER BY p_size) - 1) // CAST(ceil((SELECT count(*) FROM part) / 10.0) AS BIGINT) AS b FROM part) GROUP BY b",
+    "stat_histogram_p_brand": "SELECT b AS bucket, min(p_brand) AS lower_bound, max(p_brand) AS upper_bound, count(*) AS frequency FROM (SELECT p_brand, (row_number() OVER (ORDER BY p_brand) - 1) // CAST(ceil((SELECT count(*) FROM part) / 10.0) AS BIGINT) AS b FROM part) GROUP BY b",
+    "stat_histogram_sampled": "WITH t AS (SELECT count(*) AS n, least(count(*), 10000) AS s, CAST(ceil(least(count(*), 10000) / 10.0) AS BIGINT) AS c FROM lineitem) SELECT b AS bucket, CAST(floor(least(c, s - b * c) * (CAST(n AS DOUBLE) / s)) AS BIGINT) AS frequency FROM t, range(10) r(b) WHERE b * c < s",
+    "stat_empty": "SELECT 'x' AS column_name, CAST(0 AS BIGINT) AS row_count, CAST(0 AS BIGINT) AS distinct_count WHERE false",
+    "stat_distinct_estimated": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, count(DISTINCT {c}) AS true_count, true AS is_near FROM orders" for c in _ORDERS),
+    "stat_physical_order": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE p > x) = 0 AS is_ordered FROM (SELECT {c} AS x, lag({c}) OVER (ORDER BY n) AS p FROM (SELECT {c}, row_number() OVER () AS n FROM orders))"
+        for c in ("o_orderkey", "o_totalprice")
+    ),
+    "delimited_file": "SELECT * FROM supplier",
+    "block_file": "SELECT * FROM part",
+    "sqlite_file": "SELECT * FROM nation",
+    "catalog_file": " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(DISTINCT {c}) AS distinct_count FROM nation" for c, t in (("n_nationkey", "Int32"), ("n_name", "String"), ("n_regionkey", "Int32"))),
+    "disk_layout": """
+WITH s AS (SELECT 1 AS n, 'region' AS file_id, count(*) AS b FROM region UNION ALL SELECT 2, 'nation', count(*) FROM nation
+           UNION ALL SELECT 3, 'customer', count(*) FROM customer UNION ALL SELECT 4, 'lineitem', count(*) FROM lineitem)
+SELECT file_id, CAST(coalesce(sum(b + greatest(4 * b, 2441407)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_block, b AS num_blocks FROM s
+""",
+    "suite_outcomes": "SELECT * FROM (VALUES ('any_order', true), ('in_order', true), ('wrong_order', false), ('missing_line', false), ('failing', false)) t(name, passed)",
     "disk_metrics": """
 WITH t AS (SELECT event_id AS seq, CASE WHEN event_type = 'purchase' THEN 'write' ELSE 'read' END AS kind, user_id * 37 % 100000 AS s, event_id % 33 AS n FROM events),
 m AS (SELECT *, s + n - 1 AS e, coalesce(lag(s + n - 1) OVER (ORDER BY seq), 0) AS prev FROM t WHERE n > 0),

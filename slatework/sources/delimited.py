@@ -32,10 +32,10 @@ def parse_schema(text: str) -> T.StructType:
 
 def parse_lines(df: DataFrame, schema: T.StructType, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Typed rows of a column of lines, in the JVM, after the columns of df named in `keep`."""
-    line = F.rtrim(F.regexp_replace(column, "\r$", ""))
+    line = F.regexp_replace(column, "\r$", "")
     wide = len(schema)
     parts = F.split(line, r"\|", -1)
-    closed = (F.size(parts) == wide + 1) & (F.element_at(parts, -1) == "")
+    closed = (F.size(parts) == wide + 1) & (F.trim(F.element_at(parts, -1)) == "")
     fine = closed | (F.size(parts) == wide)
     checked = F.when(fine, parts).otherwise(F.raise_error(F.concat(F.lit(f"expected {wide} fields: "), F.col(column))))
 
