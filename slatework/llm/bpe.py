@@ -103,37 +103,45 @@ class WordBpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.pairs[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
-        self.letters = byte_letters()
+        letters = byte_letters()
+        self.inner, self.last = [self.vocab[x] for x in letters], [self.vocab[x + self.end] for x in letters]
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACE + r"\p{L}\p{N}]+")
         self.cache = ChunkCache(self.encode_chunk)
 
     def merge(self, word: str) -> list[int]:
-        letters = [self.letters[b] for b in word.encode()]
-        letters[-1] += self.end
-        sym = [self.vocab[x] for x in letters]
+        data = word.encode()
+        inner, get = self.inner, self.pairs.get
+        sym = [inner[b] for b in data]
+        sym[-1] = self.last[data[-1]]
         n = len(sym)
-        pairs = self.pairs
         if n == 1:
             return sym
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(hit[0], i) for i in range(n - 1) if (hit := pairs.get((sym[i], sym[i + 1])))]
+        # an entry of the heap is rank and place in one number
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        heap = [hit[0] << bits | i for i, pair in enumerate(zip(sym, sym[1:])) if (hit := get(pair))]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         while heap:
-            rank, i = heapq.heappop(heap)
+            entry = pop(heap)
+            i = entry & mask
             j = right[i]
-            if sym[i] < 0 or j < 0:
+            if j < 0 or sym[i] < 0:
                 continue
-            hit = pairs.get((sym[i], sym[j]))
-            if hit is None or hit[0] != rank:
+            hit = get((sym[i], sym[j]))
+            if hit is None or hit[0] != entry >> bits:
                 continue
-            sym[i], sym[j] = hit[1], -1
+            new = sym[i] = hit[1]
+            sym[j] = -1
             k = right[i] = right[j]
             if k >= 0:
                 left[k] = i
-                if after := pairs.get((sym[i], sym[k])):
-                    heapq.heappush(heap, (after[0], i))
-            if (h := left[i]) >= 0 and (before := pairs.get((sym[h], sym[i]))):
-                heapq.heappush(heap, (before[0], h))
+                if after := get((new, sym[k])):
+                    push(heap, after[0] << bits | i)
+            h = left[i]
+            if h >= 0 and (before := get((sym[h], new))):
+                push(heap, before[0] << bits | h)
         return [s for s in sym if s >= 0]
 
     def encode_chunk(self, chunk: str) -> bytes:
