@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import fresh, limit_arrow, materialize
 
 #: Rows of one rank bucket on average; the largest capacity: the histogram has a row for each length and is broadcast.
-BUCKET_ROWS, MOST_CAPACITY = 4_096, 1 << 16
+BUCKET_ROWS, MOST_CAPACITY = 500, 1 << 16
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
