@@ -28,7 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles at a Jaccard similarity of 0.8 or more one stays: that with
-    the smallest doc_id, null last (of equal rows one). Documents without words have no group and stay."""
+    the smallest doc_id, null last (of rows of one doc_id and text that whose columns come first as JSON). Documents without
+    words have no group and stay."""
     found = jaccard.classes(docs, width=5, percent=80).filter("class IS NOT NULL")
     found = materialize(spark, found.select("id", "hash", "class"), "groups")
     first = found.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "hash")).alias("first"), F.count("*").alias("n"))
@@ -41,7 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = again.select(F.col("id").alias(id_), F.col("hash").alias(hash_))
     row = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
     kept = docs.join(gone, row, "left_anti")
-    once = kept.join(again, row, "left_semi").dropDuplicates(["doc_id", "text"])
+    one = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = kept.join(again, row, "left_semi").groupBy("doc_id", "text").agg(F.min_by(one, F.to_json(one)).alias("one")).select("one.*")
     return kept.join(again, row, "left_anti").unionByName(once)
 
 
