@@ -55,3 +55,14 @@ def test_run(spark, sf):
     rows = cp.run(spark, sf).collect()
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert 0.8 * n < len({r["doc_id"] for r in rows}) <= n
+
+
+def test_repeated_rows_with_other_columns(spark):
+    """Rows of one doc_id and text that differ elsewhere: the first as JSON stays, whatever the partitions."""
+    text = "one two three four five six seven"
+    rows = [(1, text, {"k": n}, n) for n in (3, 1, 2, 1)] + [(2, text, {"k": 0}, 0), (3, "quite another text of several words here", None, 5)]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, one map<string,int>, n int").repartition(parts)
+        kept = cp.near_duplicates(spark, docs, "")
+        assert kept.columns == docs.columns
+        assert sorted((r["doc_id"], r["one"], r["n"]) for r in kept.collect()) == [(1, {"k": 1}, 1), (3, None, 5)]
