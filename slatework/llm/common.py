@@ -44,7 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_WRITTEN: list[DataFrame] = []
+#: Folders written by materialize() and not yet removed. Paths only: a DataFrame kept here would keep its plan and file
+#: listing in the driver's JVM.
+_WRITTEN: dict[str, None] = {}
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -56,17 +58,23 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)
     out._slatework_path = path
-    _WRITTEN.append(out)
+    _WRITTEN[path] = None
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    if _WRITTEN.pop(path, 0) is None:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.delete(jpath, True)
+        files.cancelDeleteOnExit(jpath)
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Remove what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_slatework_path", None)
     if path:
-        _WRITTEN[:] = [x for x in _WRITTEN if x is not df]
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        _remove(spark, path)
 
 
 @contextmanager
@@ -76,12 +84,13 @@ def scratch(spark: SparkSession, *keep: DataFrame) -> Iterator[list[DataFrame]]:
     A returned plan still reads its intermediate tables, so write it inside the block:
     `with scratch(spark): search(df, ...).write.parquet(path)`.
     """
-    before, kept = {id(x) for x in _WRITTEN}, list(keep)
+    before, kept = set(_WRITTEN), list(keep)
     try:
         yield kept
     finally:
-        for x in [x for x in _WRITTEN if id(x) not in before and not any(x is k for k in kept)]:
-            discard(spark, x)
+        spared = before | {getattr(x, "_slatework_path", None) for x in kept}
+        for path in [x for x in _WRITTEN if x not in spared]:
+            _remove(spark, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
