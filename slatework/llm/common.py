@@ -77,6 +77,13 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         _remove(spark, path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Collect the driver's garbage. Spark removes the shuffle files and broadcasts of finished plans only once the JVM has
+    collected them, and until then both stay; a step of many small jobs calls this on its way."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession, *keep: DataFrame) -> Iterator[list[DataFrame]]:
     """At the end of the block everything that was materialized inside goes, but for what is in the list that it gives.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, forget, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -45,5 +45,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = seen
     else:
         raise RuntimeError("components did not settle")
+    forget(spark)
     linked = now.groupBy("a").agg(F.min("b").alias("component"))
     return nodes.join(linked, F.col("node") == F.col("a"), "left").select("node", F.coalesce("component", "node").alias("component"))

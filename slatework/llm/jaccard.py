@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, limit_arrow, materialize, per_process, tasks
+from .common import discard, forget, limit_arrow, materialize, per_process, tasks
 from .components import components
 
 #: Counters of the sketch at most, and for each document (powers of two); the slices in which it travels.
@@ -491,6 +491,7 @@ def _live(posts: DataFrame, found: DataFrame) -> DataFrame:
     out = materialize(spark, live.join(materialize(spark, sizes, "tokens"), "token"), "live")
     discard(spark, shared)
     discard(spark, live)
+    forget(spark)
     return out
 
 
@@ -571,6 +572,7 @@ def classes(
             more = more.union(_canopy_links(canopies, sets, links, percent, block_nodes))
         found = materialize(spark, components(materialize(spark, more, "links")), "classes")
         discard(spark, sets)
+    forget(spark)
     out = members.join(found.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left")
     return out.select("id", "hash", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class"))
 
