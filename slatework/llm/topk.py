@@ -154,15 +154,37 @@ def _levels(rows: DataFrame, width: int, total: int) -> DataFrame:
     return materialize(spark, blocks, "candidates")
 
 
-def _seeded(rows: DataFrame, width: int, k: int) -> DataFrame:
+def _seeds(levels: DataFrame, sizes: list[tuple[int, float, int]], width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and vectors of the `most` longest candidates by falling length; sizes: level, longest, rows by level.
+
+    They come from the first levels that hold as many. Tasks cut their blocks to `most` rows, then one task cuts theirs, so
+    that the driver gets one block, however many tasks there are.
+    """
+    upto, held = -1, 0
+    for level, _, rows in sizes:
+        if held < most:
+            upto, held = level, held + rows
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, data = np.zeros(0, np.int64), np.zeros((0, width))
+        for batch in batches:
+            for more, rows in zip(batch["ids"], batch["data"]):
+                more, rows = unpack(more, rows, width, "f8")
+                ids, data = np.concatenate((ids, more)), np.concatenate((data, rows))
+                order = np.argsort(-(data**2).sum(axis=1), kind="stable")[:most]
+                ids, data = ids[order], data[order]
+        if len(ids):
+            yield pd.DataFrame([(ids.tobytes(), data.tobytes())], columns=["ids", "data"])
+
+    schema = "ids binary, data binary"
+    blocks = levels.filter(F.col("level") <= upto).select("ids", "data").mapInPandas(cut, schema)
+    found = blocks.repartition(1).mapInPandas(cut, schema).collect()
+    return unpack(found[0]["ids"], found[0]["data"], width, "f8") if found else (np.zeros(0, np.int64), np.zeros((0, width)))
+
+
+def _seeded(rows: DataFrame, seeds: tuple[np.ndarray, np.ndarray], width: int, k: int) -> DataFrame:
     """query, id, v, least, need (the shortest candidate length that can reach least) of every query row."""
-    spark = rows.sparkSession
-    most = max(2 * k, min(SEEDS, (1 << 22) // width))
-    longest = rows.orderBy(F.col("norm").desc(), "number").limit(most).select("id", "v").toPandas()  # SEEDS vectors at most
-    ids, data = longest["id"].to_numpy(np.int64), np.zeros((len(longest), width))
-    for i, v in enumerate(longest["v"]):
-        data[i, : len(v)] = v
-    shared = spark.sparkContext.broadcast((ids, data))
+    shared = rows.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, data = shared.value
@@ -194,18 +216,19 @@ def block_pairs(df: DataFrame, is_query: Column, k: int, scale: float, id_col: s
     total, width, asked = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count_if("asks")).first()
     width = check_width(width)
     levels = _levels(rows, width, total)
-    # the greatest length of each level: LEVELS rows at most
-    first = levels.mapInPandas(lambda batches: _longest(batches, width), "level int, longest double").groupBy("level").agg(F.max("longest").alias("longest"))
-    longest = sorted(map(tuple, first.collect()))
-    seeded = materialize(spark, _seeded(rows, width, k), "seeded")
+    # the greatest length and the rows of each level: LEVELS rows at most
+    first = levels.mapInPandas(lambda batches: _longest(batches, width), "level int, longest double, rows bigint").groupBy("level").agg(F.max("longest"), F.sum("rows"))
+    sizes = sorted(map(tuple, first.collect()))
+    seeds = _seeds(levels, sizes, width, max(2 * k, min(SEEDS, (1 << 22) // width)))
+    seeded = materialize(spark, _seeded(rows, seeds, width, k), "seeded")
     # queries in blocks by what they need; a block goes to the levels that are long enough for one of its queries
     parts = max(1, -(-asked // QUERIES))
     packed = seeded.select(F.lit(0).alias("part"), "query", "id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v")), F.array("least")).alias("v"), "need")
     packed = packed.repartitionByRange(parts, F.col("need"), F.col("query")).sortWithinPartitions("need", "query")
     packed = pack_rows(packed.select("part", "query", "id", "v"), ("part",), width + 1, QUERIES, "f8", ids=("query", "id"))
     packed = materialize(spark, packed.select(F.col("ids").alias("qids"), F.col("data").alias("qdata")), "queries")
-    reach = np.array([x for _, x in longest])
-    names = np.array([n for n, _ in longest], dtype=np.int32)
+    reach = np.array([x for _, x, _ in sizes])
+    names = np.array([n for n, _, _ in sizes], dtype=np.int32)
 
     @F.pandas_udf("array<int>")
     def wanted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -221,13 +244,13 @@ def block_pairs(df: DataFrame, is_query: Column, k: int, scale: float, id_col: s
             yield pd.Series(out)
 
     sent = packed.select("qids", "qdata", F.explode(wanted("qids", "qdata")).alias("level"))
-    return sent.join(levels, "level").select("qids", "qdata", "ids", "data"), width, -(-asked // QUERIES) * len(longest)
+    return sent.join(levels, "level").select("qids", "qdata", "ids", "data"), width, -(-asked // QUERIES) * len(sizes)
 
 
 def _longest(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [(level, float(np.sqrt((unpack(i, d, width, "f8")[1] ** 2).sum(axis=1)).max())) for level, i, d in zip(batch["level"], batch["ids"], batch["data"])]
-        yield pd.DataFrame(found, columns=["level", "longest"])
+        found = [(level, float(np.sqrt((unpack(i, d, width, "f8")[1] ** 2).sum(axis=1)).max()), len(i) // 8) for level, i, d in zip(batch["level"], batch["ids"], batch["data"])]
+        yield pd.DataFrame(found, columns=["level", "longest", "rows"])
 
 
 def search(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
