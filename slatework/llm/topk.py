@@ -10,8 +10,9 @@ Vectors are scaled and floored first. Candidates are written in blocks of a leve
 query first meets the SEEDS longest candidates and gets the k-th best product there as its bound. A level whose greatest
 length times the query's length stays under the bound (strictly, for ties go to the smaller id) is left out before the join:
 queries are ordered by the shortest length that they need, so a block of queries needs levels up to some last one and
-travels to no other. Inside the join a task keeps the bounds of the query blocks that it has seen, so that thresholds go on
-from block to block. Each pair of blocks yields at most k rows a query.
+meets no other. It travels once to each group of neighbouring levels in which it needs one. Inside the join a task keeps the
+bounds of the query blocks that it has seen, so that thresholds go on from block to block. A block of queries yields at most k
+rows a query for a group of levels, as long as its pairs come one after the other.
 
 Null vectors and vectors with a null or non-finite component take no part. Shorter vectors count as filled up with zeros.
 Ties go to the smaller id; equal rows of one id are equal candidates, and a candidate with the query's own id is passed over.
@@ -33,6 +34,8 @@ from .vectors import best, check_width, numbered, pack_rows, ranked, unpack
 
 #: Levels of candidates at most; longest candidates that give the first bounds; query blocks whose bounds a task keeps.
 LEVELS, SEEDS, KEPT_BLOCKS = 4_096, 4_096, 1_024
+#: Groups of levels for each core at least, and bytes of the vectors in a group at most (the join holds them in a task).
+GROUPS, GROUP_BYTES = 4, 128 << 20
 #: Candidates and queries of one block, candidates of one bucket (at most, and before a bucket may end by length), and the
 #: least length in a bucket, as a share of the greatest.
 CANDIDATES, QUERIES, BUCKET, SMALL_BUCKET, SIMILAR = 8_192, 1_024, 1_024, 64, 0.9
@@ -243,8 +246,12 @@ def block_pairs(df: DataFrame, is_query: Column, k: int, scale: float, id_col: s
                 out.append(names[can])
             yield pd.Series(out)
 
-    sent = packed.select("qids", "qdata", F.explode(wanted("qids", "qdata")).alias("level"))
-    return sent.join(levels, "level").select("qids", "qdata", "ids", "data"), width, -(-asked // QUERIES) * len(sizes)
+    groups = max(GROUPS * spark.sparkContext.defaultParallelism, -(-total * width * 8 // GROUP_BYTES))
+    per = max(1, -(-len(sizes) // groups))  # levels of one group
+    sent = packed.select("qids", "qdata", wanted("qids", "qdata").alias("levels"))
+    sent = sent.select("*", F.expr(f"explode(array_distinct(transform(levels, x -> x div {per})))").alias("group"))
+    met = sent.join(levels.withColumn("group", F.expr(f"level div {per}")), "group").filter("array_contains(levels, level)")
+    return met.select("qids", "qdata", "ids", "data"), width, -(-asked // QUERIES) * len(sizes)
 
 
 def _longest(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
@@ -259,17 +266,26 @@ def search(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bounds: dict[int, np.ndarray] = {}
+        own, query = None, np.zeros(0, np.int64)
+
+        def found() -> pd.DataFrame:
+            at, vec, score = own.found
+            return pd.DataFrame({"query": query[at], "query_id": own.ids[at], "vec_id": vec, "score": score.astype(np.int64)})
+
         for batch in batches:
             for qids, qdata, ids, data in zip(batch["qids"], batch["qdata"], batch["ids"], batch["data"]):
+                if own is None or np.frombuffer(qids, np.int64, 1)[0] != query[0]:
+                    if own is not None:
+                        yield found()
+                    if len(bounds) > KEPT_BLOCKS:
+                        bounds.clear()
+                    (query, qids), qdata = unpack(qids, qdata, width + 1, "f8", 2)
+                    own = Searcher(qids, qdata[:, :-1], k, bounds.get(int(query[0]), qdata[:, -1]))
                 ids, data = unpack(ids, data, width, "f8")
-                (query, qids), qdata = unpack(qids, qdata, width + 1, "f8", 2)
-                if len(bounds) > KEPT_BLOCKS:
-                    bounds.clear()
-                own = Searcher(qids, qdata[:, :-1], k, bounds.get(int(query[0]), qdata[:, -1]))
                 for part in buckets(data):
                     own.bucket(ids[part], data[part])
                 bounds[int(query[0])] = own.least
-                at, vec, score = own.found
-                yield pd.DataFrame({"query": query[at], "query_id": qids[at], "vec_id": vec, "score": score.astype(np.int64)})
+        if own is not None:
+            yield found()
 
     return ranked(pairs.mapInPandas(run, "query bigint, query_id bigint, vec_id bigint, score bigint"), k)
