@@ -208,7 +208,7 @@ def stat_histogram_p_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stat_histogram_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies of a histogram that is made from a sample and scaled to the table."""
-    return statistics.histogram(_table(spark, sf_dir, "lineitem"), "l_quantity").select("bucket", "frequency")
+    return statistics.sampled_histogram(_table(spark, sf_dir, "lineitem"), "l_quantity").select("bucket", "frequency")
 
 
 def stat_empty(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,13 @@ def test_large_histogram_scales(spark):
     assert len(got) == 10 and all(r["frequency"] == 3000 for r in got)
 
 
+def test_large_histogram_counts_every_row(spark):
+    df = spark.range(30_007).selectExpr("IF(id % 3 = 0, 5, id * 7919 % 30007) AS v")
+    values = sorted(5 if i % 3 == 0 else i * 7919 % 30_007 for i in range(30_007))
+    want = [(b, c[0], c[-1], len(c)) for b in range(10) if (c := values[b * 3001 : (b + 1) * 3001])]
+    assert sorted(map(tuple, statistics.histogram(df, "v").collect())) == want
+
+
 def test_physical_order(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(statistics, "RUN_ROWS", 7)
     rows = [(i, i % 50, 5, None) for i in range(100)]
