@@ -35,3 +35,23 @@ def test_against_duckdb(spark, con, sf, name):
     want = con.sql(core.ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert norm(df.select(*sorted(df.columns)).collect() if len(set(df.columns)) == len(df.columns) else df.collect()) == norm(con.sql(f"SELECT {', '.join(sorted(want.columns))} FROM ({core.ORACLE_SQL[name]})").fetchall())
+
+
+@pytest.fixture(scope="module")
+def larger_part(con, tmp_path_factory):
+    """A folder with part repeated to 12,600 rows, a few of them without brand or size."""
+    folder = tmp_path_factory.mktemp("larger")
+    some = "CASE WHEN (p_partkey + k) % {} <> 0 THEN {} END AS {}"
+    columns = f"p_partkey + k * 1000000 AS p_partkey, {some.format(7, 'p_brand', 'p_brand')}, {some.format(11, 'p_size', 'p_size')}"
+    con.execute(f"COPY (SELECT {columns} FROM part, range(CAST(ceil(12600 / (SELECT count(*) FROM part)) AS BIGINT)) r(k)) TO '{folder}/part.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+def against_part(spark, folder, name):
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet'")
+        assert sorted(map(tuple, core.QUERIES[name](spark, folder).collect())) == sorted(con.execute(core.ORACLE_SQL[name]).fetchall())
+
+
+def test_brand_histogram_of_a_larger_table(spark, larger_part):
+    against_part(spark, larger_part, "stat_histogram_p_brand")
