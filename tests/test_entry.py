@@ -55,3 +55,7 @@ def against_part(spark, folder, name):
 
 def test_brand_histogram_of_a_larger_table(spark, larger_part):
     against_part(spark, larger_part, "stat_histogram_p_brand")
+
+
+def test_size_histogram_of_a_larger_table(spark, larger_part):
+    against_part(spark, larger_part, "stat_histogram_p_size")
