@@ -12,7 +12,8 @@ length times the query's length stays under the bound (strictly, for ties go to
 queries are ordered by the shortest length that they need, so a block of queries needs levels up to some last one and
 meets no other. It travels once to each group of neighbouring levels in which it needs one. Inside the join a task keeps the
 bounds of the query blocks that it has seen, so that thresholds go on from block to block. A block of queries yields at most k
-rows a query for a group of levels, as long as its pairs come one after the other.
+rows a query for a group of levels, as long as its pairs come one after the other. Blocks hold components in the fewest bytes
+that take the largest one.
 
 Null vectors and vectors with a null or non-finite component take no part. Shorter vectors count as filled up with zeros.
 Ties go to the smaller id; equal rows of one id are equal candidates, and a candidate with the query's own id is passed over.
@@ -29,11 +30,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_arrow, materialize, tasks
+from .common import forget, limit_arrow, materialize, tasks
 from .vectors import best, check_width, numbered, pack_rows, ranked, unpack
 
 #: Levels of candidates at most; longest candidates that give the first bounds; query blocks whose bounds a task keeps.
-LEVELS, SEEDS, KEPT_BLOCKS = 4_096, 4_096, 1_024
+LEVELS, SEEDS, KEPT_BLOCKS = 1_024, 4_096, 1_024
 #: Groups of levels for each core at least, and bytes of the vectors in a group at most (the join holds them in a task).
 GROUPS, GROUP_BYTES = 4, 128 << 20
 #: Candidates and queries of one block, candidates of one bucket (at most, and before a bucket may end by length), and the
@@ -41,6 +42,36 @@ GROUPS, GROUP_BYTES = 4, 128 << 20
 CANDIDATES, QUERIES, BUCKET, SMALL_BUCKET, SIMILAR = 8_192, 1_024, 1_024, 64, 0.9
 #: Coordinates tried per query; the share of a bucket up to which coordinates prune better than lengths.
 FOCUS, COORDINATE_SHARE = 3, 0.25
+#: Types of components in blocks by bytes, and the largest component that each takes.
+KINDS = {1: ("i1", 127), 2: ("i2", 32_767), 4: ("i4", 2**31 - 1), 8: ("f8", float("inf"))}
+
+
+def _candidates(ids: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and vectors of a block of candidates."""
+    return unpack(ids, data, width, KINDS[8 * len(data) // (len(ids) * width)][0])
+
+
+def _queries(ids: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """numbers, ids, vectors and bounds (8 bytes after each vector) of a block of queries."""
+    numbers, own = np.frombuffer(ids, np.int64).reshape(-1, 2).T
+    raw = np.frombuffer(data, np.uint8).reshape(len(own), -1)
+    vectors, least = raw[:, :-8].copy(), raw[:, -8:].copy()
+    return numbers, own, vectors.view(KINDS[vectors.shape[1] // width][0]), least.view("f8")[:, 0]
+
+
+def _narrowed(blocks: DataFrame, width: int, dtype: str) -> DataFrame:
+    """Blocks of queries (ids, data) of vectors and bounds as doubles, with vectors of dtype."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for data in batch["data"]:
+                rows = np.frombuffer(data).reshape(-1, width + 1)
+                parts = (np.ascontiguousarray(x).view(np.uint8) for x in (rows[:, :-1].astype(dtype), rows[:, -1:]))
+                out.append(np.concatenate([x.reshape(len(rows), -1) for x in parts], axis=1).tobytes())
+            yield pd.DataFrame({"qids": batch["ids"], "qdata": out})
+
+    return blocks.select("ids", "data").mapInPandas(run, "qids binary, qdata binary")
 
 
 def buckets(rows: np.ndarray) -> list[slice]:
@@ -147,13 +178,13 @@ class Searcher:
         self.add(queries[at], ids[col], score[at, col])
 
 
-def _levels(rows: DataFrame, width: int, total: int) -> DataFrame:
+def _levels(rows: DataFrame, width: int, total: int, dtype: str) -> DataFrame:
     """level, longest (the greatest length in the level), ids, data: blocks of candidates, levels by falling length."""
     spark = rows.sparkSession
     parts = max(1, min(total // BUCKET, LEVELS, max(tasks(spark), total // CANDIDATES)))
     order = F.col("norm").desc(), F.col("number")
     by_length = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    blocks = pack_rows(by_length.select(F.spark_partition_id().alias("level"), "id", "v"), ("level",), width, CANDIDATES, "f8")
+    blocks = pack_rows(by_length.select(F.spark_partition_id().alias("level"), "id", "v"), ("level",), width, CANDIDATES, dtype)
     return materialize(spark, blocks, "candidates")
 
 
@@ -172,7 +203,7 @@ def _seeds(levels: DataFrame, sizes: list[tuple[int, float, int]], width: int, m
         ids, data = np.zeros(0, np.int64), np.zeros((0, width))
         for batch in batches:
             for more, rows in zip(batch["ids"], batch["data"]):
-                more, rows = unpack(more, rows, width, "f8")
+                more, rows = _candidates(more, rows, width)
                 ids, data = np.concatenate((ids, more)), np.concatenate((data, rows))
                 order = np.argsort(-(data**2).sum(axis=1), kind="stable")[:most]
                 ids, data = ids[order], data[order]
@@ -208,20 +239,27 @@ def _seeded(rows: DataFrame, seeds: tuple[np.ndarray, np.ndarray], width: int, k
     return rows.filter("asks").select(F.col("number").alias("query"), "id", "v").mapInPandas(run, "query bigint, id bigint, v array<double>, least double, need double")
 
 
-def block_pairs(df: DataFrame, is_query: Column, k: int, scale: float, id_col: str, vector_col: str) -> tuple[DataFrame, int, int]:
-    """The pairs of a query block and a candidate block that can hold results (qids: query and id, qdata, least, ids, data),
-    the width of the vectors, and the number of pairs of a query block and a level before pruning."""
+def block_pairs(df: DataFrame, is_query: Column, k: int, scale: float, id_col: str, vector_col: str, narrow: bool = False) -> tuple[DataFrame, int, int]:
+    """The pairs of a query block and a candidate block that can hold results (qids: query and id, qdata: vector and least,
+    ids, data), the width of the vectors, and the number of pairs of a query block and a level before pruning.
+
+    narrow: components in as few bytes as take the largest one, else as doubles.
+    """
     spark = df.sparkSession
     limit_arrow(spark)
     rows = numbered(df, is_query, id_col, vector_col)
     rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("double")))
     rows = materialize(spark, rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), "scaled")
-    total, width, asked = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count_if("asks")).first()
+    largest = F.max(F.array_max(F.transform("v", F.abs)))
+    total, width, asked, largest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count_if("asks"), largest).first()
     width = check_width(width)
-    levels = _levels(rows, width, total)
+    size = min(n for n, (_, most) in KINDS.items() if (largest or 0) <= most) if narrow else 8
+    dtype = KINDS[size][0]
+    levels = _levels(rows, width, total, dtype)
     # the greatest length and the rows of each level: LEVELS rows at most
     first = levels.mapInPandas(lambda batches: _longest(batches, width), "level int, longest double, rows bigint").groupBy("level").agg(F.max("longest"), F.sum("rows"))
     sizes = sorted(map(tuple, first.collect()))
+    forget(spark)  # the sorted vectors' shuffle files
     seeds = _seeds(levels, sizes, width, max(2 * k, min(SEEDS, (1 << 22) // width)))
     seeded = materialize(spark, _seeded(rows, seeds, width, k), "seeded")
     # queries in blocks by what they need; a block goes to the levels that are long enough for one of its queries
@@ -229,7 +267,8 @@ def block_pairs(df: DataFrame, is_query: Column, k: int, scale: float, id_col: s
     packed = seeded.select(F.lit(0).alias("part"), "query", "id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v")), F.array("least")).alias("v"), "need")
     packed = packed.repartitionByRange(parts, F.col("need"), F.col("query")).sortWithinPartitions("need", "query")
     packed = pack_rows(packed.select("part", "query", "id", "v"), ("part",), width + 1, QUERIES, "f8", ids=("query", "id"))
-    packed = materialize(spark, packed.select(F.col("ids").alias("qids"), F.col("data").alias("qdata")), "queries")
+    packed = materialize(spark, _narrowed(packed, width, dtype), "queries")
+    forget(spark)
     reach = np.array([x for _, x, _ in sizes])
     names = np.array([n for n, _, _ in sizes], dtype=np.int32)
 
@@ -238,31 +277,31 @@ def block_pairs(df: DataFrame, is_query: Column, k: int, scale: float, id_col: s
         for qids, qdata in batches:
             out = []
             for i, d in zip(qids, qdata):
-                _, data = unpack(i, d, width + 1, "f8", 2)
-                length = np.sqrt((data[:, :-1] ** 2).sum(axis=1))
-                least = data[:, -1]
+                _, _, data, least = _queries(i, d, width)
+                length = np.sqrt((data.astype(np.float64) ** 2).sum(axis=1))
                 # strictly under the bound goes; without a positive length a bound above 0 is out of reach
                 can = (length[:, None] * reach[None] * (1 + 1e-12) >= least[:, None]).any(axis=0)
                 out.append(names[can])
             yield pd.Series(out)
 
-    groups = max(GROUPS * spark.sparkContext.defaultParallelism, -(-total * width * 8 // GROUP_BYTES))
+    groups = max(GROUPS * spark.sparkContext.defaultParallelism, -(-total * width * size // GROUP_BYTES))
     per = max(1, -(-len(sizes) // groups))  # levels of one group
     sent = packed.select("qids", "qdata", wanted("qids", "qdata").alias("levels"))
     sent = sent.select("*", F.expr(f"explode(array_distinct(transform(levels, x -> x div {per})))").alias("group"))
-    met = sent.join(levels.withColumn("group", F.expr(f"level div {per}")), "group").filter("array_contains(levels, level)")
+    # no side is ever broadcast: blocks of equal vectors are far smaller in files than in the driver
+    met = sent.hint("merge").join(levels.withColumn("group", F.expr(f"level div {per}")), "group").filter("array_contains(levels, level)")
     return met.select("qids", "qdata", "ids", "data"), width, -(-asked // QUERIES) * len(sizes)
 
 
 def _longest(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [(level, float(np.sqrt((unpack(i, d, width, "f8")[1] ** 2).sum(axis=1)).max()), len(i) // 8) for level, i, d in zip(batch["level"], batch["ids"], batch["data"])]
+        found = [(level, float(np.sqrt((_candidates(i, d, width)[1].astype(np.float64) ** 2).sum(axis=1)).max()), len(i) // 8) for level, i, d in zip(batch["level"], batch["ids"], batch["data"])]
         yield pd.DataFrame(found, columns=["level", "longest", "rows"])
 
 
 def search(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id long, rank int, vec_id long, score long: the k largest products of every query row with the other rows."""
-    pairs, width, _ = block_pairs(df, is_query, k, scale, id_col, vector_col)
+    pairs, width, _ = block_pairs(df, is_query, k, scale, id_col, vector_col, narrow=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bounds: dict[int, np.ndarray] = {}
@@ -279,9 +318,9 @@ def search(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id
                         yield found()
                     if len(bounds) > KEPT_BLOCKS:
                         bounds.clear()
-                    (query, qids), qdata = unpack(qids, qdata, width + 1, "f8", 2)
-                    own = Searcher(qids, qdata[:, :-1], k, bounds.get(int(query[0]), qdata[:, -1]))
-                ids, data = unpack(ids, data, width, "f8")
+                    query, qids, qdata, least = _queries(qids, qdata, width)
+                    own = Searcher(qids, qdata, k, bounds.get(int(query[0]), least))
+                ids, data = _candidates(ids, data, width)
                 for part in buckets(data):
                     own.bucket(ids[part], data[part])
                 bounds[int(query[0])] = own.least
